@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollbook.llm import lm
+from rollbook.llm import fertility, lm, packing, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +18,35 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 10 != 0")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring,)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    bands = fertility.fit(docs, _table(spark, sf_dir, "labels").where("quality = 1"))
+    return fertility.rules(docs.select("doc_id", "text", "lang"), bands).drop("text", "lang")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_quality_rules, op4_best_fit_packing)}
+
+#: Words of a text by DuckDB; a null text has none.
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS words FROM documents),
+        runs AS (SELECT r, i, words[i : i + 34] AS run FROM texts, unnest(range(1, len(words) - 33)) AS t(i)),
+        again AS (SELECT run FROM runs GROUP BY run HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM runs JOIN again USING (run))),
+        word AS (SELECT r, p, words[p] AS word FROM texts, unnest(range(1, len(words) + 1)) AS t(p)),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (r, p) GROUP BY r),
+        lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)""",
+}

@@ -7,6 +7,9 @@ the operators are ASCII, hence byte-wise splitting never cuts a multi-byte chara
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +22,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Bytes of text that a map works on at a time.
+MAP_BYTES = 4 << 20
 #: Words beyond this many bytes are hashed one by one.
 LONG_WORD = 96
 
@@ -31,6 +36,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = MAP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of whole rows, of about so many bytes of text or a single row; none is empty."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in itertools.pairwise(edges):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and len + 1 offsets into them; a null text is empty."""
     column = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "").cast(pa.large_string())
