@@ -14,7 +14,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
@@ -42,11 +42,15 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.select(F.coalesce(F.sum(F.octet_length(text).cast("long") + 16), F.lit(0)).alias("n")).first()["n"]
 
 
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
+
+
 def in_blocks(docs: DataFrame, columns: list[str], n_bytes: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
     """The columns (the text is called text) with a block number; how many blocks and shards there are."""
     blocks = max(1, -(-n_bytes // block_bytes))
     shards = max(1, -(-n_bytes // SHARD_BYTES))
-    dealt = docs.select(*columns, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    dealt = docs.select(*columns, block_of(blocks).alias("block"))
     return dealt.repartition(blocks, "block"), blocks, shards
 
 

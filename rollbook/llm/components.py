@@ -1,0 +1,37 @@
+"""Connected components of an edge table, by alternating stars (Kiveris et al., 2014)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rollbook.llm.blocks import written
+
+
+def _stars(edges: DataFrame, larger: bool) -> DataFrame:
+    """Large star: every larger neighbour is linked to the least of a vertex and its neighbours; small star: all that are not larger."""
+    if larger:
+        near = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    out = near.join(least, "a")
+    if larger:
+        return out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, component): for every vertex of the edges (a, b) that is not the least of its component, the least.
+
+    Null ends and loops are left out. Each round is written to the shared folder, which ends its lineage; the
+    rounds grow with the logarithm of the largest component.
+    """
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    while True:
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if now == before or not now["n"]:
+            return edges.select("a", F.col("b").alias("component"))
+        before = now
+        edges = written(_stars(_stars(edges, True), False), "edges")
