@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.words import NOT_ALNUM, Words, slices, sums
+from rollbook.llm.words import NOT_ALNUM, Words, slices, text_buffer
 
 CONTAINMENT = 0.95
 #: Phrases whose every place counts, with their labels.
@@ -133,7 +133,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             text = Words(batch["text"], fold=True, separators=NOT_ALNUM)
-            number = numbers.numbers(text)
+            raw, number = text_buffer(batch["text"])[0], numbers.numbers(text)
             base = [Counter() for _ in range(batch.num_rows)]
             first, last = {}, {}
             for phrase, label in phrases:
@@ -160,7 +160,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
                     d = int(np.searchsorted(text.first, w.start, "right")) - 1
                     labels[d].update(wanted.labels[t] for t in found)
                     best[d] = max(best[d], *found.values())
-                    lines[d][bytes(text.data[a:b]).decode().strip("\n")] = None
+                    lines[d][raw[a:b].tobytes().decode().strip("\n")] = None
             score = [1.0 if c else s for c, s in zip(base, best, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"], pa.array(text.n), pa.array([sum(c.values()) for c in base], pa.int64()), *(pa.array([x.get(d) for d in range(batch.num_rows)], pa.int64()) for x in (first, last)),

@@ -46,8 +46,8 @@ def _open(path: str, write: bool = False) -> BinaryIO:
     system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     if write:
         system.create_dir(os.path.dirname(at), recursive=True)
-        return system.open_output_stream(at)
-    return system.open_input_stream(at)
+        return system.open_output_stream(at, compression=None)
+    return system.open_input_stream(at, compression=None)
 
 
 def write_record(out: BinaryIO, page_id: int | None, url: str | None, payload: memoryview | bytes, digest: str, refers_to: int | None, revisit: bool) -> None:
