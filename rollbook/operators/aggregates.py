@@ -15,10 +15,14 @@ def count_of(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def bucket_members(df: DataFrame, spec: Spec = SPEC) -> DataFrame:
+    """(bucket_key, id): a row for each record with a distinctive name. Rows, not lists: a common name may be a third of them."""
+    return df.select(bucket_key(spec.name).alias("bucket_key"), F.col(spec.id).alias("id")).where("bucket_key <> ''")
+
+
 def buckets(df: DataFrame, spec: Spec = SPEC) -> DataFrame:
-    """bucket_key and the ids of the records whose name has it, ascending."""
-    keyed = df.select(F.col(spec.id).alias("id"), bucket_key(spec.name).alias("bucket_key")).where("bucket_key <> ''")
-    return keyed.groupBy("bucket_key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
+    """Per bucket_key how many records have it and the least id among them."""
+    return bucket_members(df, spec).groupBy("bucket_key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 def duplicates(df: DataFrame, spec: Spec = SPEC, limit: int = 500) -> DataFrame:

@@ -1,7 +1,5 @@
 """Word and trigram indexes over text columns, and the searches on them."""
 
-from __future__ import annotations
-
 import re
 from collections.abc import Sequence
 from functools import lru_cache
@@ -80,9 +78,13 @@ def stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-@F.pandas_udf("string")
-def stem_udf(words: pd.Series) -> pd.Series:
-    return words.map(stem)
+def stem_udf(c: Column | str) -> Column:
+    """Made on call: the declaration needs a session, which executors lack."""
+
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(stem)
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def terms_of(c: Column) -> Column:
