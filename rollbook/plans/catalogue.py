@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rollbook.functions import identifiers as ids
 from rollbook.functions import similarity, text
 from rollbook.operators import aggregates, entities, filters, fulltext, learning, registry
+from rollbook.sources.shared import written
 from rollbook.streaming import windows
 
 #: Columns of a record, in SQL that both engines read.
@@ -222,7 +223,7 @@ def ranked_search(spark, d):
 
 @query(None)
 def stemmed_search(spark, d):
-    index = fulltext.postings(_table(spark, d, "documents"), "doc_id", ["text"])
+    index = written(fulltext.postings(_table(spark, d, "documents"), "doc_id", ["text"]), "postings")  # read three times
     return fulltext.bm25(index, [fulltext.stem("licenses"), fulltext.stem("public")], 50)
 
 
