@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def rolling(events: DataFrame, at: str, kind: str, value: str, every: str = "1 hour", late: str = "20 minutes") -> DataFrame:
-    """Per window and kind: count, mean and maximum. On a stream, a window closes when the watermark passes it."""
-    source = events.withWatermark(at, late) if events.isStreaming else events
+    """Per window and kind: count, mean and maximum. On a stream, a window closes when the watermark passes it; watermarks need times with a zone."""
+    source = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
     return source.groupBy(F.window(at, every).alias("w"), kind).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("highest")).select(F.col("w.start").alias("start"), kind, "n", "mean", "highest")
 
 
