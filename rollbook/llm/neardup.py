@@ -31,9 +31,13 @@ from rollbook.llm.words import Words, mix, pack_sorted, slices, sums, tally, unp
 
 #: Shingles that one task of step 4 holds.
 GROUP_SHINGLES = 4 << 20
+#: Sets that one task of step 4 holds of one chunk.
+GROUP_SETS = 8192
 BITMAP_BITS = 4096
+#: Nodes of at most so many sets are compared as a block, all pairs of bitmaps at once.
+BLOCK_SETS = 32
 #: Sizes of a scheme: from g**k up to g**(k + 1); neighbours overlap by the threshold.
-GROWTH = 1.5
+GROWTH = 1.15
 _PART = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,7 +66,7 @@ class Threshold:
             top = (high - 1) * 100 // self.percent
             total = high - 1 + top
             most = max(t - 2 * self.least_common(t) for t in range(max(2, total - 200), total + 1))
-            drop = most // 8
+            drop = most // 8 + 1
             yield k, low, top, most + 1 + 2 * drop, drop
             low = high
 
@@ -116,10 +120,10 @@ def part_keys(sets: Shingles, threshold: Threshold) -> tuple[np.ndarray, np.ndar
             if len(edges):
                 content[cell[order][edges]] = np.add.reduceat(mix(shingle[a:b][order] ^ _PART), edges)
             content = mix(content + mix(np.tile(np.arange(parts, dtype=np.uint64), len(some)) + np.uint64(k << 32)) + count.astype(np.uint64) * _PART).reshape(-1, parts)
+            count = count.reshape(-1, parts)
             kept = np.ones(content.shape, bool)
-            if drop:
-                poorest = np.argsort(count.reshape(-1, parts), axis=1, kind="stable")[:, :drop]
-                np.put_along_axis(kept, poorest, False, axis=1)
+            np.put_along_axis(kept, np.argsort(count, axis=1, kind="stable")[:, :drop], False, axis=1)
+            kept[(count == 0) & ((count == 0).sum(axis=1, keepdims=True) <= 2 * drop)] = False
             keys.append(content[kept])
             of.append(np.repeat(mine[some], kept.sum(axis=1)))
     if not keys:
@@ -161,6 +165,7 @@ class SignatureTree:
             flat[(sets[i] >> np.uint64(40)) % np.uint64(BITMAP_BITS)] = True
             bits[row] = np.packbits(flat)
             slack.append(len(sets[i]) - int(flat.sum()))
+        self.bits, self.slack, self.sizes = bits.view(np.uint64), np.array(slack, np.int64), np.array([len(sets[i]) for i in self.order], np.int64)
         #: nodes: (from, to, union of bitmaps, least size, largest size, most tokens that share a bit with another of the set, children)
         self.nodes = [(r, r + 1, bits[r].view(np.uint64), len(sets[i]), len(sets[i]), slack[r], None) for r, i in enumerate(self.order)]
         level = list(range(len(sets)))
@@ -190,6 +195,19 @@ class SignatureTree:
     def _same(self, a: int, b: int) -> bool:
         return self.whole[a] and self.whole[b] and self.forest.find(self.order[self.nodes[a][0]]) == self.forest.find(self.order[self.nodes[b][0]])
 
+    def _block(self, x: tuple, y: tuple) -> None:
+        """Links between the sets under two nodes. Pairs that sizes or bitmaps rule out are dropped all at once."""
+        a, b = slice(x[0], x[1]), slice(y[0], y[1])
+        some, other = self.sizes[a, None], self.sizes[None, b]
+        overlap = np.bitwise_count(self.bits[a, None] & self.bits[None, b]).sum(axis=2, dtype=np.int64) + np.minimum(self.slack[a, None], self.slack[None, b])
+        near = (overlap >= self.threshold.least_common(some + other)) & (100 * np.minimum(some, other) >= self.threshold.percent * np.maximum(some, other))
+        for r, q in np.argwhere(near).tolist():
+            i, j = self.order[x[0] + r], self.order[y[0] + q]
+            if self.forest.find(i) != self.forest.find(j):
+                common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+                if self.threshold.linked(common, len(self.sets[i]), len(self.sets[j])):
+                    self.forest.join(i, j)
+
     def _across(self, a: int, b: int) -> None:
         stack = [(a, b)]
         while stack:
@@ -197,12 +215,8 @@ class SignatureTree:
             if self._same(a, b) or self._hopeless(self.nodes[a], self.nodes[b]):
                 continue
             x, y = self.nodes[a], self.nodes[b]
-            if x[6] is None and y[6] is None:
-                i, j = self.order[x[0]], self.order[y[0]]
-                if self.forest.find(i) != self.forest.find(j):
-                    common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-                    if self.threshold.linked(common, len(self.sets[i]), len(self.sets[j])):
-                        self.forest.join(i, j)
+            if x[1] - x[0] <= BLOCK_SETS and y[1] - y[0] <= BLOCK_SETS:
+                self._block(x, y)
             elif y[6] is None or (x[6] is not None and x[1] - x[0] >= y[1] - y[0]):
                 stack += [(c, b) for c in x[6]]
             else:
@@ -320,7 +334,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     wanted = compared.join(named.distinct(), ["doc_id", "n_shingles", "low", "high"]).select("doc_id", "block", "group", "n_shingles")
     wanted = written(wanted, "wanted")
     sizes = wanted.groupBy("group").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).where("members > 1")
-    wanted = written(wanted.join(sizes, "group").select("doc_id", "block", "group", F.ceil(F.col("total") / GROUP_SHINGLES).alias("chunks")), "wanted")
+    wanted = written(wanted.join(sizes, "group").select("doc_id", "block", "group", F.ceil(F.greatest(F.col("total") / GROUP_SHINGLES, F.col("members") / GROUP_SETS)).alias("chunks")), "wanted")
 
     def shingle_sets(texts: pa.Table, ids: pa.Table) -> pa.Table:
         ids = ids.group_by("doc_id").aggregate([("group", "min"), ("chunks", "min")])
