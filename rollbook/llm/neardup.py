@@ -4,6 +4,8 @@
 2. Routing. Two sets that reach the threshold differ in at most H shingles, a bound that follows from their
    sizes. Cut the space of shingle hashes into H + 1 + 2c parts: at least 2c + 1 parts then hold the same
    shingles of both. Either set drops its c poorest parts, so at least one part agrees and is kept by both.
+   A set with at most 2c empty parts drops all of these: a part that is empty in both is lost only once, and the
+   empty ones use up what either may drop, so of the 2c + 1 a part with shingles is left.
    Every text sends the hashes of its parts to shards; texts that agree in a part become candidates. Most parts
    hold several shingles, so that a shared passage or frequent words make few candidates, but not none: texts
    whose parts hold one shared shingle, or none in short texts, still chain into large groups. The bound is
@@ -12,8 +14,8 @@
 4. A group's sets meet in a signature tree: leaves are single sets, a node keeps the union of their token
    bitmaps and the range of their sizes. A dual traversal skips pairs of nodes whose sizes or bitmaps rule out
    enough overlap, and pairs already connected; small nodes that are left meet as a block of bitmaps, and the
-   pairs that this leaves are compared in full. A group too
-   large for one task is cut into chunks, and every pair of its chunks is a task of its own.
+   pairs that this leaves are compared in full. A group too large for one task is cut into chunks, and every
+   pair of its chunks is a task of its own.
 """
 
 from __future__ import annotations

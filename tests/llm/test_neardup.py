@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -112,3 +113,35 @@ def test_components(spark):
     got = {tuple(x) for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {(v, forest.find(v)) for e in edges for v in e if forest.find(v) != v}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_linked_sets_share_a_part():
+    rng = np.random.default_rng(7)
+    for percent in (80, 85):
+        threshold = neardup.Threshold(percent)
+        for n in [*range(1, 120), 200, 333, 700]:
+            for _ in range(4):
+                pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+                same = next(k for k in range(1, n + 1) if threshold.linked(k, n, n))
+                a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:same], pool[n : 2 * n - same]]))
+                sets = SimpleNamespace(hashes=np.concatenate([a, b]), text=np.repeat([0, 1], n), n=np.array([n, n]))
+                keys, of = neardup.part_keys(sets, threshold)
+                assert np.intersect1d(keys[of == 0], keys[of == 1]).size, (percent, n)
+
+
+def test_blocks_of_bitmaps_find_all_links():
+    rng = np.random.default_rng(11)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        for _ in range(4):
+            changed = base.copy()
+            changed[: rng.integers(0, 9)] = rng.integers(0, 1 << 63, dtype=np.uint64)
+            sets.append(np.unique(changed))
+    threshold = neardup.Threshold(85)
+    forest, plain = neardup.SignatureTree(sets, threshold).connect(), neardup.Forest(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if threshold.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+                plain.join(i, j)
+    assert [forest.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
