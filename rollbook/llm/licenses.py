@@ -1,15 +1,19 @@
-"""License scans: an exact containment join of the lines of all texts with license templates.
+"""License scans: an exact containment join of the lines and word windows of all texts with license templates.
 
-A line contains a template if at least the share ``containment`` of the template's distinct words are in it.
+A block contains a template if at least the share ``containment`` of the template's distinct words are in it.
+Blocks are lines, whatever their length, and for notices that wrap all windows of REACH times as many words as
+the template has, across line ends.
 The words of all templates are put in one global order, rarest in the corpus first. A line that reaches the
 threshold must hold one of a template's first n - ceil(share * n) + 1 words (prefix), must hold enough template
 words at all (length), and from the place where the two orders first meet enough words must be left in both
-(position). Only lines that pass all three are compared.
+(position). Only lines that pass all three are compared. Windows are looked at around the words of the prefix
+only, where enough of the template's words are within reach; as each holds a prefix word, none fails by position.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from rollbook.llm.words import NOT_ALNUM, Words, slices, text_buffer
 
 CONTAINMENT = 0.95
+#: Words of a window, as a multiple of a template's: room for comment marks, names and words put in.
+REACH = 2
 #: Phrases whose every place counts, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: Sentences by which texts state their license, with their labels.
@@ -52,6 +58,7 @@ class Templates:
         self.order = {w: i for i, w in enumerate(sorted(words, key=lambda w: (frequency.get(w, 0), w)))}
         self.labels = [label for _, label in templates]
         self.sets = [sorted({self.order[w] for w in text.split()}) for text, _ in templates]
+        self.reach = [REACH * len(text.split()) for text, _ in templates]
         self.need = [math.ceil(round(containment * len(s), 9)) for s in self.sets]
         self.by_prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, s in enumerate(self.sets):
@@ -73,6 +80,34 @@ class Templates:
         return out
 
 
+def most_shared(places: list[int], words: list[int], reach: int) -> int:
+    """The most distinct words that any ``reach`` places in a row hold; places ascend."""
+    held, left, best = Counter(), 0, 0
+    for p, w in zip(places, words, strict=True):
+        held[w] += 1
+        while places[left] <= p - reach:
+            held[words[left]] -= 1
+            if not held[words[left]]:
+                del held[words[left]]
+            left += 1
+        best = max(best, len(held))
+    return best
+
+
+def shortest(places: list[int], words: list[int], reach: int, need: int) -> Iterator[tuple[int, int]]:
+    """First and last place of each run within reach that holds ``need`` distinct words and none when cut at either end."""
+    held, left = Counter(), 0
+    for p, w in zip(places, words, strict=True):
+        held[w] += 1
+        while len(held) >= need:
+            if held[words[left]] == 1 and len(held) == need and places[left] > p - reach:
+                yield places[left], p
+            held[words[left]] -= 1
+            if not held[words[left]]:
+                del held[words[left]]
+            left += 1
+
+
 def vocabulary(templates: tuple[tuple[str, str], ...]) -> list[str]:
     return sorted({w for text, _ in templates for w in text.split()} | {w for text, _ in PHRASES for w in text.split()})
 
@@ -107,6 +142,18 @@ def word_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {r["word"]: r["n"] for r in rows}
 
 
+def _stretches(places: np.ndarray, rare: np.ndarray, reach: int, need: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the places that lie within reach of a rare one, joined where they overlap, and are ``need`` at least."""
+    chosen = places[rare]
+    a, b = np.searchsorted(places, chosen - reach, "right"), np.searchsorted(places, chosen + reach)
+    if not len(a):
+        return
+    cut = np.flatnonzero(a[1:] >= b[:-1])
+    for x, y in zip(a[np.append(0, cut + 1)].tolist(), b[np.append(cut, len(b) - 1)].tolist(), strict=True):
+        if y - x >= need:
+            yield x, y
+
+
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("lines", pa.list_(pa.string()))])
 _FOUND_DDL = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, lines array<string>"
 
@@ -118,8 +165,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
     overlapping ones too), first_word and last_word (the smallest and largest of their starts, null without
     one), base_labels, labels (theirs and the templates'; distinct, sorted, comma-joined, else empty), score
     (the largest containment found, 1 with a phrase, 0 with nothing) and lines (distinct, in order, that contain
-    a template). A null text has no words. Null and repeated ids give a row each; an empty table gives no rows.
-    Blocks of text are lines (cut at \\n).
+    a template; then the runs of lines that only together do, for one that wraps). A null text has no words.
+    Null and repeated ids give a row each; an empty table gives no rows. Lines are cut at \\n.
     """
     words = vocabulary(templates)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -128,6 +175,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
     rank = np.array([wanted.order.get(w, -1) for w in words] + [-1])
     rare = np.zeros(len(words) + 1, bool)
     rare[[i for w, i in place.items() if wanted.order.get(w) in wanted.by_prefix]] = True
+    prefix, member = np.zeros((2, len(templates), len(words) + 1), bool)  # the last column is for other words, number -1
+    for t, ranks in enumerate(wanted.sets):
+        member[t] = np.isin(rank, ranks)
+        prefix[t] = np.isin(rank, ranks[: len(ranks) - wanted.need[t] + 1])
     phrases = [([place[w] for w in text.split()], label) for text, label in PHRASES]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +199,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
                     base[d][label] += 1
                     first[d], last[d] = min(first.get(d, at), at), max(last.get(d, at), at)
             best, labels, lines = [0.0] * batch.num_rows, [set(c) for c in base], [{} for _ in base]
+            whole = defaultdict(set)  # lines that contain a template, by template
             breaks = np.flatnonzero(text.data == 10)
             lo = np.sort(np.concatenate([text.offsets[:-1], breaks + 1]))  # every text and every line starts one
             here = np.searchsorted(lo, text.starts[rare[number]], "right") - 1
@@ -161,6 +213,30 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
                     labels[d].update(wanted.labels[t] for t in found)
                     best[d] = max(best[d], *found.values())
                     lines[d][raw[a:b].tobytes().decode().strip("\n")] = None
+                    for t in found:
+                        whole[t].add(line)
+            near = np.flatnonzero(number >= 0)
+            here = np.searchsorted(lo, text.starts[near], "right") - 1
+            owner = np.searchsorted(text.first, near, "right") - 1
+            for t, reach in enumerate(wanted.reach):
+                mine = np.flatnonzero(member[t][number[near]])
+                at, docs_at = near[mine], owner[mine]
+                keyed = at + docs_at * reach  # texts lie a reach apart, so that no window spans two
+                for a, b in _stretches(keyed, prefix[t][number[at]], reach, wanted.need[t]):
+                    places, ranks = keyed[a:b].tolist(), rank[number[at[a:b]]].tolist()
+                    most = most_shared(places, ranks, reach)
+                    if most < wanted.need[t]:
+                        continue
+                    d = int(docs_at[a])
+                    labels[d].add(wanted.labels[t])
+                    best[d] = max(best[d], most / len(wanted.sets[t]))
+                    after = -1
+                    for first_place, last_place in shortest(places, ranks, reach, wanted.need[t]):
+                        i, j = (int(here[mine[a + bisect_left(places, p)]]) for p in (first_place, last_place))
+                        if i < j and i > after and not any(x in whole[t] for x in range(i, j + 1)):
+                            end = int(lo[j + 1]) if j + 1 < len(lo) else len(text.data)
+                            lines[d][raw[int(lo[i]) : end].tobytes().decode().strip("\n")] = None
+                            after = j
             score = [1.0 if c else s for c, s in zip(base, best, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"], pa.array(text.n), pa.array([sum(c.values()) for c in base], pa.int64()), *(pa.array([x.get(d) for d in range(batch.num_rows)], pa.int64()) for x in (first, last)),

@@ -43,5 +43,42 @@ def test_lines_are_returned(spark):
     assert out["lines"] == [LINES[3]]
 
 
+def wrapped(text, width, mark=""):
+    words = text.split()
+    return "\n".join(mark + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def plain_windows(text):
+    """Labels and the largest share over all lines and all windows of twice a template's words."""
+    words, best, labels = split(text), 0.0, set()
+    for template, label in licenses.TEMPLATES:
+        want, reach = set(template.split()), 2 * len(template.split())
+        blocks = [split(line) for line in text.split("\n")] + [words[i : i + reach] for i in range(len(words))]
+        share = max((len(want & set(b)) / len(want) for b in blocks), default=0)
+        if share >= licenses.CONTAINMENT:
+            best = max(best, share)
+            labels.add(label)
+    return ",".join(sorted(labels)), best
+
+
+def test_wrapped_notices(spark):
+    notices = [wrapped(t, width, mark) for t, _ in licenses.TEMPLATES for width, mark in ((1, ""), (3, "# "), (5, " * "), (8, "dnl "))]
+    notices = [n for n in notices if not any(p in " ".join(split(n)) for p, _ in licenses.PHRASES)]
+    texts = [fx.prose(i, 40) + "\n" + n + "\n" + fx.prose(i + 1, 40) for i, n in enumerate(notices)]
+    texts += ["\n".join(notices[i : i + 9]) for i in range(0, len(notices), 9)] + [notices[5] + "\n" + notices[5].replace("\n", " ") + "\n" + notices[5]]
+    texts += ["\nfiller".join(t.split()) + "\n" for t, _ in licenses.TEMPLATES] + ["\n\nfiller more ".join(t.split()) for t, _ in licenses.TEMPLATES if not t.startswith("released")]
+    texts += [t[:cut] for t in texts[::7] for cut in (len(t) // 3, len(t) // 2)]
+    texts = [t for t in texts if not any(p in " ".join(split(t)) for p, _ in licenses.PHRASES)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(fx.documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: plain_windows(t) for i, t in enumerate(texts)}
+    assert all(got[i][1] >= licenses.CONTAINMENT for i in range(len(notices)))
+
+
+def test_lines_of_a_wrapped_notice_are_returned_together(spark):
+    notice = "This Source Code Form is subject to the terms\nof the Mozilla Public License, v. 2.0."
+    out = licenses.scan(fx.documents(spark, [(1, f"x\n{notice}\ny"), (2, notice.split("\n")[0]), (3, notice.split("\n")[1])])).orderBy("doc_id").collect()
+    assert [(r["labels"], r["lines"]) for r in out] == [("mpl", [notice]), ("", []), ("", [])]
+
+
 def test_empty_table(spark):
     assert licenses.scan(fx.documents(spark, [])).collect() == []
