@@ -37,5 +37,11 @@ def test_runs(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).columns
 
 
+def test_clusters_link_on_lines_that_many_hold(spark, tmp_path):
+    line = "a line of at least forty characters that many hold"
+    spark.createDataFrame([(i, f"own {i}\n{line if i < 9 else 'x'}") for i in range(12)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, catalogue.QUERIES["entity_clusters_all"](spark, str(tmp_path)).collect())) == [(i, 0) for i in range(9)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["value", "n"]
