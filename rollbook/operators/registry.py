@@ -96,6 +96,16 @@ def linked(df: DataFrame, seeds: DataFrame, columns: Sequence[str], spec: Spec =
     return own.join(cells, ["field", "value"]).where("seed <> id").select("seed", "id").distinct()
 
 
+def links(df: DataFrame, columns: Sequence[str], spec: Spec = SPEC) -> DataFrame:
+    """(seed, field, value, n_linked) of every record: the values that others share with it, and how many others.
+
+    Records of one (field, value) are linked with each other. Linear in rows, where the pairs grow with a group's square.
+    """
+    cells = long_form(df, columns, spec).select("id", "field", "value").distinct()
+    shared = cells.groupBy("field", "value").agg(F.count("*").alias("n")).where("n > 1")
+    return cells.join(shared, ["field", "value"]).select(F.col("id").alias("seed"), "field", "value", (F.col("n") - 1).alias("n_linked"))
+
+
 def holds_any(columns: Sequence[str], values: Sequence[str]) -> Column:
     """Whether any of the columns holds one of a few values, in any case, outer spaces aside."""
     wanted = [v.strip().upper() for v in values]

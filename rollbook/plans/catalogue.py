@@ -205,6 +205,13 @@ def related(spark, d):
     return registry.linked(found, found.where("id % 500 = 0"), ["tid", "mxcode"])
 
 
+@query(f"""WITH {_RECORDS}, {_CELLS}, g AS (SELECT field, value, count(DISTINCT id) AS n FROM cells WHERE field IN ('tid', 'mxcode') GROUP BY ALL HAVING count(DISTINCT id) > 1)
+    SELECT DISTINCT id AS seed, field, value, n - 1 AS n_linked FROM cells JOIN g USING (field, value)""")
+def related_all(spark, d):
+    """Every record as a seed, by the values it shares; ``related`` keeps to its SQL's seeds, and lists pairs."""
+    return registry.links(records(spark, d), ["tid", "mxcode"])
+
+
 @query(f"""WITH {_RECORDS}, {_CELLS} SELECT translate(value, '01258', 'OIZSB') AS key, array_to_string(list_sort(list(DISTINCT value)), ',') AS spellings, count(DISTINCT value) AS n
     FROM cells WHERE field = 'tid' GROUP BY key HAVING count(DISTINCT value) > 1""")
 def lookalikes(spark, d):

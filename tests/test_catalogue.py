@@ -43,5 +43,16 @@ def test_clusters_link_on_lines_that_many_hold(spark, tmp_path):
     assert sorted(map(tuple, catalogue.QUERIES["entity_clusters_all"](spark, str(tmp_path)).collect())) == [(i, 0) for i in range(9)]
 
 
+def test_every_record_is_a_seed(spark, sf_dir):
+    wanted = catalogue.records(spark, sf_dir)
+    pairs = {tuple(r) for r in catalogue.registry.linked(wanted, wanted, ["tid", "mxcode"]).collect()}
+    groups = {}
+    for r in catalogue.QUERIES["related_all"](spark, sf_dir).collect():
+        groups.setdefault((r["field"], r["value"], r["n_linked"]), set()).add(r["seed"])
+    assert pairs == {(a, b) for ids in groups.values() for a in ids for b in ids if a != b}
+    assert all(len(ids) == n + 1 for (_, _, n), ids in groups.items())
+    assert any(a % 500 and b % 500 for a, b in pairs)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["value", "n"]
