@@ -60,6 +60,12 @@ def phrases(requests: DataFrame, text: str, label: str, least: int, most_words:
     return grams.groupBy("gram", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def means(vectors: DataFrame) -> DataFrame:
+    """(label, exemplar): the mean of all vectors (label, embedding) of each label."""
+    each = vectors.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return each.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("exemplar"))
+
+
 def best_exemplar(vectors: DataFrame, exemplars: DataFrame) -> DataFrame:
     """Per vector (vec_id, embedding): the intent of the likest exemplar (label, exemplar), similarity and margin to the next intent.
 

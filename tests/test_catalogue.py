@@ -54,5 +54,13 @@ def test_every_record_is_a_seed(spark, sf_dir):
     assert any(a % 500 and b % 500 for a, b in pairs)
 
 
+def test_every_label_has_an_exemplar(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    labels = {r["label"] for r in vectors.select("label").distinct().collect()}
+    assert {r["label"] for r in catalogue.learning.means(vectors).collect()} == labels
+    seen = spark.createDataFrame([(i, i % 3, [float(i % 3 == k) for k in range(3)]) for i in range(60)], "vec_id bigint, label bigint, embedding array<float>")
+    assert {(r["vec_id"], r["label"], r["similarity"]) for r in catalogue.learning.best_exemplar(seen, catalogue.learning.means(seen)).collect()} == {(i, i % 3, 1.0) for i in range(60)}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["value", "n"]
