@@ -354,8 +354,8 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     sets = sets.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     sets = sets.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "set")
     links = written(sets.groupBy("group", "i", "j").applyInArrow(lambda t: _link_group(t, percent), "a bigint, b bigint").where("a <> b"), "links")
-    if wanted.where("chunks > 1").head(1):
-        links = components(links).toDF("a", "b")
+    # A group in several chunks, or an id with unlike texts, can give an id several links.
+    links = components(links).toDF("a", "b")
     # One row per class, then one join that the copies take part in.
     heads = heads.join(links.select(F.col("a").alias("head"), "b"), "head", "left").select("n_shingles", "low", "high", F.coalesce("b", "head").alias("component"))
     found = named.join(heads, ["n_shingles", "low", "high"], "left")

@@ -145,3 +145,10 @@ def test_blocks_of_bitmaps_find_all_links():
             if threshold.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
                 plain.join(i, j)
     assert [forest.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
+
+
+def test_unlike_texts_under_one_id_link_their_components_in_a_small_group(spark):
+    one, two = ("".join(f"{w}{i} " for i in range(60)) for w in ("left", "right"))
+    rows = [(3, one + "end"), (5, one), (5, two), (4, two + "end")]
+    got = neardup.join(fx.documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (4, 3), (5, 3), (5, 3)]
