@@ -1 +1 @@
-"""Operators over registry records: filters, resolution, aggregation, search, entities, enrichment, learning, governance."""
+"""Operators over registry records: filters, resolution, aggregation, search, entities, learning."""
