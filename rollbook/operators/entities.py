@@ -5,35 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.sources.shared import written
+from rollbook.sources.shared import forget, written
+
+
+#: Parts that the neighbours of a vertex are dealt into, so that a hub's do not meet in one task.
+HUB_PARTS = 8
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """Edges (a, b) from (value, id): every member of a value with its least one. Linear in rows, whatever a value's share."""
-    least = members.groupBy("value").agg(F.min("id").alias("b"))
-    return members.join(least, "value").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    """Edges (a, b) from (value, id): every member of a value with its least one. Linear in rows, whatever a value's share.
 
+    Values travel as 128-bit hashes, not as the text they are.
+    """
+    named = members.select(F.xxhash64("value").alias("v"), F.xxhash64(F.lit(1), "value").alias("w"), "id").distinct()
+    least = named.groupBy("v", "w").agg(F.min("id").alias("b"))
+    return named.join(least, ["v", "w"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
-def clusters(edges: DataFrame) -> DataFrame:
-    """(id, cluster_id) of every node of the edges (a, b); cluster_id is the least id that links reach.
 
-    Large-star and small-star by turns until nothing changes (Kiveris et al., 2014); each round is written to the
-    shared folder, so plans stay short and the driver sees only a count.
+def _star(edges: DataFrame, larger: bool) -> DataFrame:
+    """Large star: every larger neighbour is linked to the least of a vertex and its neighbours; small star: all that are not larger."""
+    if larger:
+        near = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))))
+    out = near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)).cast("int")).join(parts, ["a", "part"])
+    if larger:
+        return out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, component): for every vertex of the edges (a, b) that is not the least of its component, the least.
+
+    Alternating stars (Kiveris et al., 2014). Null ends and loops are left out. Each round is written to the shared
+    folder, which ends its lineage, and the round before it is deleted; the driver sees a count and a sum of hashes.
+    The rounds grow with the logarithm of the largest component.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(down, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        after = written(small.where("a <> b").distinct(), "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            break
-        edges = after
-    nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("cluster_id"))
-    return nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("cluster_id")).distinct())
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if now == before or not now["n"]:
+            return edges.select("a", F.col("b").alias("component"))
+        before, old = now, edges
+        edges = written(_star(_star(edges, True), False), "edges")
+        forget(old)
+
+
+def clusters(edges: DataFrame) -> DataFrame:
+    """(id, cluster_id) of every node of the edges (a, b); cluster_id is the least id that links reach."""
+    nodes = components(edges).toDF("id", "cluster_id")
+    return nodes.unionByName(nodes.select(F.col("cluster_id").alias("id"), "cluster_id").distinct())
 
 
 def timeline(events: DataFrame, key: str, at: str, kind: str, order: str) -> DataFrame:

@@ -136,6 +136,15 @@ def gram_candidates(index: DataFrame, word: str) -> DataFrame:
     return index.where(F.col("gram").isin(*grams)).groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") == len(grams)).select("id")
 
 
+def gram_search(df: DataFrame, id: str, columns: Sequence[str], word: str, index: DataFrame | None = None) -> DataFrame:
+    """Ids of the records that hold a word of three letters or more: candidates by their runs, each then checked for the word itself.
+
+    A written ``index`` (see gram_index) saves making one; candidates are joined back to the records for the check."""
+    found = gram_candidates(gram_index(df, id, columns) if index is None else index, word)
+    whole = F.upper(F.concat_ws("\x01", *[_text(c) for c in columns])).contains(word.upper())
+    return df.where(whole).select(F.col(id).alias("id")).join(found, "id", "left_semi")
+
+
 def autocomplete(keys: DataFrame, prefix: str, limit: int, key: str = "bucket_key") -> DataFrame:
     """Keys that start with the prefix, shortest first."""
     return keys.where(F.col(key).startswith(prefix.upper())).select(key).distinct().orderBy(F.length(key), key).limit(limit)

@@ -40,14 +40,14 @@ def test_runs(spark, sf_dir, name):
 def test_clusters_link_on_lines_that_many_hold(spark, tmp_path):
     line = "a line of at least forty characters that many hold"
     spark.createDataFrame([(i, f"own {i}\n{line if i < 9 else 'x'}") for i in range(12)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(map(tuple, catalogue.QUERIES["entity_clusters_all"](spark, str(tmp_path)).collect())) == [(i, 0) for i in range(9)]
+    assert sorted(map(tuple, catalogue.QUERIES["entity_clusters"](spark, str(tmp_path)).collect())) == [(i, 0) for i in range(9)]
 
 
 def test_every_record_is_a_seed(spark, sf_dir):
     wanted = catalogue.records(spark, sf_dir)
     pairs = {tuple(r) for r in catalogue.registry.linked(wanted, wanted, ["tid", "mxcode"]).collect()}
     groups = {}
-    for r in catalogue.QUERIES["related_all"](spark, sf_dir).collect():
+    for r in catalogue.QUERIES["related"](spark, sf_dir).collect():
         groups.setdefault((r["field"], r["value"], r["n_linked"]), set()).add(r["seed"])
     assert pairs == {(a, b) for ids in groups.values() for a in ids for b in ids if a != b}
     assert all(len(ids) == n + 1 for (_, _, n), ids in groups.items())
