@@ -1,172 +1,173 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a bigram with Dirichlet smoothing over an additively smoothed unigram:
+The model is of order three, each order smoothed with the one below it (Dirichlet weights), down to an additively
+smoothed unigram:
 
-    P(w)     = (c(w) + a) / (N + a (V + 1))
-    P(w | v) = (c(v w) + m P(w)) / (c(v) + m)
+    P(w)       = (c(w) + a) / (N + a (V + 1))
+    P(w | v)   = (c(v w) + m P(w)) / (c(v) + m)
+    P(w | u v) = (c(u v w) + m P(w | v)) / (c(u v) + m)
 
-As an automaton: the root has an arc for every word with weight P(w); every trained word v is a state, with an
-arc for each trained bigram v w and a failure arc to the root of weight m / (c(v) + m). Reading w leads to
-the state of w, or to the root if w was never trained, so one pass from left to right carries the state.
+As an automaton: the root has an arc for every word, with weight log P(w). Every trained word v is a state, and so
+is every trained pair u v. A state has an arc for each word that was trained after it, weighted with the smoothed
+probability, and a failure arc of weight log(m / (c + m)), c being the state's count: from u v to v, from v to the
+root. A word without an arc is read by way of the failure arcs, whose weights add up. Reading leads to the state of
+the longest trained end of what was read: a pair, else a word, else the root.
 
 No machine holds the whole automaton. Each block of texts gets just the states and arcs its own texts can
-reach: blocks send the distinct words and bigrams they hold, with training counts, to shards by hash; a shard
-adds the counts up and answers each block with the totals that differ from the block's own. All counts cover
-the whole training set; nothing is pruned.
+reach: blocks ask shards for the training counts of the distinct words, pairs and triples they hold (see
+``exchange``). All counts cover the whole training set; nothing is pruned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.blocks import in_blocks, shard_bounds, text_bytes, written
-from rollbook.llm.words import Words, mix, pack_sorted, sums, tally, unpack_sorted
+from rollbook.llm.blocks import in_blocks
+from rollbook.llm.exchange import ASKED, Keys, Route, ask, settle, totals_of
+from rollbook.llm.words import Words, mix, sums, tally
 
-#: Weight of the unigram in a bigram state, in pseudo-counts.
+#: Weight of the lower order in a state, in pseudo-counts.
 BACKOFF_MASS = 4.0
 ADD = 0.1
+ORDER = 3
+#: Bytes of text whose keys a shard holds.
+SHARD_BYTES = 12 << 20
 END = np.uint64(0x5EED0F7E97E9D0C5)
 _ARC = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grams:
-    """Tokens of a block (words and an end for each text), its distinct words and bigrams, in order of hash."""
+    """Tokens of a block (words and an end for each text), and its distinct n-grams of each order, in order of hash.
+
+    keys[k]: the distinct (k + 1)-grams with their training counts in the block; at[k]: the tokens that end one;
+    of[k]: which of the distinct ones each of those ends.
+    """
 
-    def __init__(self, text: pa.ChunkedArray, trained: np.ndarray) -> None:
+    def __init__(self, text: pa.Array | pa.ChunkedArray, trained: np.ndarray) -> None:
         words = Words(text, fold=True)
-        texts = np.arange(len(words.n))
         self.n = words.n + 1
         self.first = np.append(0, np.cumsum(self.n))
-        tokens = np.empty(self.first[-1], np.uint64)
-        is_end = np.zeros(len(tokens), bool)
-        is_end[self.first[1:] - 1] = True
-        tokens[~is_end], tokens[is_end] = words.hashes(), END
+        self.tokens = np.empty(self.first[-1], np.uint64)
+        self.is_end = np.zeros(len(self.tokens), bool)
+        self.is_end[self.first[1:] - 1] = True
+        self.tokens[~self.is_end], self.tokens[self.is_end] = words.hashes(), END
         weight = np.repeat(trained.astype(np.int64), self.n)
-        self.words, self.word_counts, self.word = tally(tokens, weight)
-        inner = np.ones(len(tokens), bool)
-        inner[self.first[:-1][texts]] = False
-        self.to = np.flatnonzero(inner)  # tokens with one before them in the same text
-        arcs = mix(tokens[self.to - 1] * _ARC + tokens[self.to])
-        self.arcs, self.arc_counts, self.arc = tally(arcs, weight[self.to])
-
-
-def _count(table: pa.Table, shards: int) -> Iterator[dict]:
-    grams = Grams(table["text"], table["trained"].to_numpy())
-    at, to = shard_bounds(grams.words, shards), shard_bounds(grams.arcs, shards)
-    for s in range(shards):
-        w, a = slice(at[s], at[s + 1]), slice(to[s], to[s + 1])
-        if w.start < w.stop or a.start < a.stop:
-            yield {
-                "shard": s, "block": table["block"][0].as_py(), "words": pack_sorted(grams.words[w]), "word_counts": grams.word_counts[w].astype("<u4").tobytes(),
-                "arcs": pack_sorted(grams.arcs[a]), "arc_counts": grams.arc_counts[a].astype("<u4").tobytes(),
-            }
-
-
-_COUNTS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("arcs", pa.binary()), ("arc_counts", pa.binary())])
-_TOTALS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *[(f"{k}_{x}", pa.binary()) for k in ("words", "arcs") for x in ("changed", "totals")], ("tokens", pa.int64()), ("vocabulary", pa.int64())])
-_SQL = {pa.int64(): "bigint", pa.binary(): "binary", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string"}
-
-
-def ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    """Totals of a shard; each block is told those that differ from its own counts, by their place in its order."""
-    rows = table.to_pylist()
-    out = [{"shard": r["shard"], "block": r["block"], "tokens": 0, "vocabulary": 0} for r in rows]
-    for kind, count in (("words", "word_counts"), ("arcs", "arc_counts")):
-        keys = [unpack_sorted(r[kind]) for r in rows]
-        own = [np.frombuffer(r[count], "<u4").astype(np.int64) for r in rows]
-        distinct, totals, place = tally(np.concatenate(keys), np.concatenate(own))
-        if kind == "words":
-            out[0] |= {"tokens": int(totals.sum()), "vocabulary": int((totals > 0).sum())}
-        at = 0
-        for o, k, c in zip(out, keys, own, strict=True):
-            total = totals[place[at : at + len(k)]]
-            at += len(k)
-            changed = total != c
-            o |= {f"{kind}_changed": np.packbits(changed).tobytes(), f"{kind}_totals": total[changed].astype("<u8").tobytes()}
-    return pa.Table.from_pylist(out, _TOTALS)
+        place = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], self.n)
+        self.keys, self.at, self.of, gram = [], [], [], self.tokens
+        for k in range(ORDER):
+            at = np.flatnonzero(place >= k)
+            if k:
+                longer = np.zeros(len(gram), np.uint64)
+                longer[1:] = mix(gram[:-1] * _ARC + self.tokens[1:] + np.uint64(k))
+                gram = longer
+            low, counts, of = tally(gram[at], weight[at])
+            self.keys.append(Keys(low, counts))
+            self.at.append(at)
+            self.of.append(of)
 
 
 class BackoffAutomaton:
-    """The part of the automaton that a block's tokens can reach; weights are log10 probabilities."""
+    """The part of the automaton that a block's tokens can reach; weights are log10 probabilities.
 
-    def __init__(self, word_counts: np.ndarray, arc_counts: np.ndarray, tokens: int, vocabulary: int, add: float = ADD, mass: float = BACKOFF_MASS) -> None:
-        self.root = (word_counts + add) / (tokens + add * (vocabulary + 1))
-        self.known = word_counts > 0
-        self.counts, self.arcs, self.mass = word_counts.astype(float), arc_counts.astype(float), mass
-
-    def traverse(self, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P of each token as the traversal reads it, and of the root's arcs alone.
+    States are numbered: 0 the root, then the words, then the pairs of the block; those never trained are no states.
+    ``arc[k]`` and ``trained[k]`` are by distinct (k + 1)-gram: the weight of the arc that reads its last word in the
+    state of the words before, and whether there is one (the root reads every word).
+    """
 
-        The state after a token is that of its word, or the root if it was never trained. From a state the
-        bigram's arc is taken where there is one; the failure arc's share of the root's weight is part of it.
+    def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, vocabulary: int, add: float = ADD, mass: float = BACKOFF_MASS) -> None:
+        self.trained = [c > 0 for c in counts]
+        self.known = self.trained[0]
+        n_states = 1 + sum(len(c) for c in counts[: ORDER - 1])
+        first = np.append(1, 1 + np.cumsum([len(c) for c in counts[: ORDER - 1]]))
+        self.order_of = np.zeros(n_states, np.int8)
+        self.fail_to, self.fail_weight = np.zeros(n_states, np.int64), np.zeros(n_states)
+        probability = [(counts[0] + add) / (tokens + add * (vocabulary + 1))]
+        for k in range(1, ORDER):
+            states = slice(first[k - 1], first[k])
+            c = counts[k - 1]
+            self.order_of[states] = k
+            self.fail_weight[states] = np.log10(mass / (c + mass))
+            if k > 1:  # without its first word; a trained pair's last word is trained
+                shorter = np.zeros(len(c), np.int64)
+                shorter[grams.of[k - 1]] = first[k - 2] + self._ending(grams, k - 2, grams.at[k - 1])
+                self.fail_to[states] = shorter
+            # c(h w) over the context h, the k words before, and the probability one order down
+            context, lower = np.zeros(len(counts[k])), np.zeros(len(counts[k]))
+            at = grams.at[k]
+            context[grams.of[k]] = c[self._ending(grams, k - 1, at - 1)]
+            lower[grams.of[k]] = probability[k - 1][self._ending(grams, k - 1, at)]
+            probability.append((counts[k] + mass * lower) / (context + mass))
+        self.arc = [np.log10(p) for p in probability]
+        self._first = first
+
+    @staticmethod
+    def _ending(grams: Grams, k: int, at: np.ndarray) -> np.ndarray:
+        """Which distinct (k + 1)-gram ends at each of the tokens; all must end one."""
+        return grams.of[k][np.searchsorted(grams.at[k], at)]
+
+    def states(self, grams: Grams) -> np.ndarray:
+        """The state after each token: of the longest trained end of what its text has up to there. A text's end leads to the root."""
+        after = np.zeros(len(grams.tokens), np.int64)
+        for k in range(ORDER - 1):
+            trained = self.trained[k][grams.of[k]]
+            after[grams.at[k][trained]] = self._first[k] + grams.of[k][trained]
+        after[grams.is_end] = 0
+        return after
+
+    def traverse(self, grams: Grams) -> np.ndarray:
+        """log10 P of each token, read from left to right, all texts at once.
+
+        A token starts in the state that the token before it led to. While that state has no arc for it the failure
+        arc is followed and its weight added; then the arc is taken.
         """
-        base = self.root[grams.word]
-        score = base.copy()
-        before = grams.word[grams.to - 1]
-        state = self.known[before]
-        to, v = grams.to[state], before[state]
-        score[to] = (self.arcs[grams.arc[state]] + self.mass * base[to]) / (self.counts[v] + self.mass)
-        return np.log10(score), np.log10(base)
+        at = np.append(0, self.states(grams)[:-1])  # a text's first token starts in the root, where the text before ended
+        weight = np.zeros(len(at))
+        for k in range(ORDER - 1, 0, -1):
+            here = np.flatnonzero(self.order_of[at] == k)
+            gram = self._ending(grams, k, here)
+            has = self.trained[k][gram]
+            weight[here[has]] += self.arc[k][gram[has]]
+            at[here[has]] = -1
+            failed = here[~has]
+            weight[failed] += self.fail_weight[at[failed]]
+            at[failed] = self.fail_to[at[failed]]
+        root = np.flatnonzero(at == 0)
+        weight[root] += self.arc[0][grams.of[0][root]]
+        return weight
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(docs: pa.Table, answers: pa.Table, tokens: int, vocabulary: int) -> pa.Table:
-    if not docs.num_rows:
-        return _SCORES.empty_table()
-    trained = docs["trained"].to_numpy()
-    grams = Grams(docs["text"], trained)
-    rows = answers.sort_by("shard").to_pylist()
-    counts = []
-    for kind, own in (("words", grams.word_counts), ("arcs", grams.arc_counts)):
-        total, at = own.copy(), 0
-        for r in rows:
-            n = r[f"n_{kind}"]
-            changed = np.unpackbits(np.frombuffer(r[f"{kind}_changed"], np.uint8), count=n).astype(bool)
-            total[at : at + n][changed] = np.frombuffer(r[f"{kind}_totals"], "<u8")
-            at += n
-        counts.append(total)
-    automaton = BackoffAutomaton(counts[0], counts[1], tokens, vocabulary)
-    score, base = automaton.traverse(grams)
-    return pa.Table.from_arrays([
-        docs["doc_id"].combine_chunks(), pa.array(~trained), pa.array(grams.n), pa.array(sums(automaton.known[grams.word], grams.first)), pa.array(np.full(len(grams.n), tokens)),
-        pa.array(sums(base, grams.first)), pa.array(sums(score, grams.first)),
-    ], schema=_SCORES)
-
-
-def score(docs: DataFrame, trained: str) -> DataFrame:
+def score(docs: DataFrame, trained: str, route: Route | None = None) -> DataFrame:
     """Scores of every text under the model trained on the texts for which the SQL condition ``trained`` holds.
 
     docs needs doc_id and text; other columns are ignored. Per row: doc_id, held_out, n_tokens (words and the
     end), n_known (of them, those with a training count), train_tokens, base_score (unigram) and score (the
     automaton), both log10. A null text counts as empty: one end. A null id, or a condition that is null,
-    trains nothing. Repeated rows count and are scored each. An empty table gives no rows.
+    trains nothing. Repeated rows count and are scored each; very long texts are taken whole. An empty table gives
+    no rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr(trained), F.lit(False)).alias("trained"))
-    blocks, _, shards = in_blocks(docs, ["doc_id", "text", "trained"], text_bytes(docs))
-
-    def count(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(_count(table, shards)), _COUNTS)
-
-    def add_up(table: pa.Table) -> pa.Table:
-        out = _add_up(table)
-        for kind in ("words", "arcs"):
-            out = out.append_column(f"n_{kind}", pa.array([len(x) // 8 for x in table[kind].to_pylist()], pa.int64()))
-        return out
-
-    sent = blocks.groupBy("block").applyInArrow(count, ddl(_COUNTS))
-    totals = written(sent.groupBy("shard").applyInArrow(add_up, ddl(_TOTALS) + ", n_words bigint, n_arcs bigint"), "lm")
-    n = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("vocabulary")).first()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr(trained), F.lit(False)).alias("trained"))
+    blocks = in_blocks(docs, "lm")
+    route = route or Route.between(blocks.n, max(1, -(-blocks.n_bytes // SHARD_BYTES)))
+    edges = route.first
+    sent = blocks.map(lambda block, batch: ask(block, Grams(batch["text"], batch["trained"].to_numpy(zero_copy_only=False)).keys, edges), ASKED)
+    told = settle(sent, route, "counts")
+    n = told.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("positive"), F.lit(0)).alias("vocabulary")).first()
     tokens, vocabulary = n["tokens"], n["vocabulary"]
-    answer = totals.groupBy("block")
-    return blocks.groupBy("block").cogroup(answer).applyInArrow(lambda left, right: _score(left, right, tokens, vocabulary), ddl(_SCORES))
+
+    def read(block: int, batch: pa.RecordBatch, replies: pa.Table) -> pa.Table:
+        is_trained = batch["trained"].to_numpy(zero_copy_only=False)
+        grams = Grams(batch["text"], is_trained)
+        automaton = BackoffAutomaton(grams, totals_of(replies, grams.keys), tokens, vocabulary)
+        base = automaton.arc[0][grams.of[0]]
+        return pa.Table.from_arrays([
+            batch["doc_id"], pa.array(~is_trained), pa.array(grams.n), pa.array(sums(automaton.known[grams.of[0]], grams.first)), pa.array(np.full(len(grams.n), tokens)),
+            pa.array(sums(base, grams.first)), pa.array(sums(automaton.traverse(grams), grams.first)),
+        ], schema=_SCORES)
+
+    return blocks.meet(told.select("shard", "block", "reply"), read, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

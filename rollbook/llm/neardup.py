@@ -1,21 +1,23 @@
 """Exact Jaccard join of word-shingle sets, with signature trees.
 
-1. Texts with equal sets are one class; only its representative (the least id) goes on.
+1. Texts with equal sets are one class. The first row of a class speaks for it; no other goes on.
 2. Routing. Two sets that reach the threshold differ in at most H shingles, a bound that follows from their
-   sizes. Cut the space of shingle hashes into H + 1 + 2c parts: at least 2c + 1 parts then hold the same
-   shingles of both. Either set drops its c poorest parts, so at least one part agrees and is kept by both.
-   A set with at most 2c empty parts drops all of these: a part that is empty in both is lost only once, and the
-   empty ones use up what either may drop, so of the 2c + 1 a part with shingles is left.
-   Every text sends the hashes of its parts to shards; texts that agree in a part become candidates. Most parts
-   hold several shingles, so that a shared passage or frequent words make few candidates, but not none: texts
-   whose parts hold one shared shingle, or none in short texts, still chain into large groups. The bound is
-   exact; no link is lost.
-3. Candidates are linked as a forest by each shard, and the connected pieces of that are groups.
+   sizes. Cut the space of shingle hashes into H + 1 + 2c parts: at least 2c + 1 parts then hold the same shingles
+   of both. Put the parts in one order for all sets, richest first (equal parts are equally rich): by the prefix
+   principle the first H + 1 parts of either have one in common, so each set drops its 2c poorest. Parts that hold
+   one shingle or none, which unlike texts share by chance, are thus hardly ever kept. The bound is exact.
+   Every class sends the hashes of its kept parts to shards; classes that agree in one are candidates.
+3. Where up to SMALL classes agree in a part every pair of them is a candidate, and is first held against the
+   signatures of both (a bitmap of their shingles, two bits a shingle, and the size), which bound the overlap. Only
+   what passes joins a group, so chance meetings do not chain texts together. Where more agree (copies with small
+   changes, a common passage) they are one group without their pairs being listed.
 4. A group's sets meet in a signature tree: leaves are single sets, a node keeps the union of their token
    bitmaps and the range of their sizes. A dual traversal skips pairs of nodes whose sizes or bitmaps rule out
    enough overlap, and pairs already connected; small nodes that are left meet as a block of bitmaps, and the
    pairs that this leaves are compared in full. A group too large for one task is cut into chunks, and every
    pair of its chunks is a task of its own.
+
+A class is named by its row's block and place there (see ``blocks``), so neither null nor repeated ids matter.
 """
 
 from __future__ import annotations
@@ -29,10 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.blocks import block_of, in_blocks, shard_bounds, text_bytes, written
-from rollbook.llm.components import components
-from rollbook.llm.words import Words, mix, pack_sorted, slices, sums, tally, unpack_sorted, window_starts, windows
+from rollbook.llm.blocks import Blocks, give_back, in_blocks, shard_bounds
+from rollbook.llm.words import Words, mix, pack_sorted, sums, unpack_sorted, window_starts, windows
+from rollbook.operators.entities import components
+from rollbook.sources.shared import forget, written
 
+#: Classes that agree in a part of which every pair is listed.
+SMALL = 8
+#: Keys of parts that a shard holds.
+SHARD_KEYS = 2_000_000
 #: Shingles that one task of step 4 holds.
 GROUP_SHINGLES = 4 << 20
 #: Sets that one task of step 4 holds of one chunk.
@@ -59,21 +66,28 @@ class Threshold:
         return -(-self.percent * total // (100 + self.percent))
 
     def schemes(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(number, least size, largest size, parts, poorest parts to drop), without end.
+        """(number, least size, largest size, parts, parts to keep), without end.
 
         Scheme k joins a set of base sizes [low, high) with one as large or larger, which is at most
-        100 / percent times as large.
+        100 / percent times as large. The most that two may differ in repeats with period 100 + percent, and grows.
         """
         low = 1
         for k in itertools.count():
             high = max(low + 1, math.floor(low * GROWTH))
             top = (high - 1) * 100 // self.percent
             total = high - 1 + top
-            most = max(t - 2 * self.least_common(t) for t in range(max(2, total - 200), total + 1))
-            drop = most // 8 + 1
-            yield k, low, top, most + 1 + 2 * drop, drop
+            most = max(t - 2 * self.least_common(t) for t in range(max(2, total - 100 - self.percent), total + 1))
+            yield k, low, top, most + 1 + 2 * (most // 8 + 1), most + 1
             low = high
 
+    def n_keys(self, sizes: np.ndarray) -> np.ndarray:
+        """How many keys of parts a set of each size sends."""
+        out = np.zeros(len(sizes), np.int64)
+        for _, low, top, _, keep in self.schemes():
+            if low > sizes.max(initial=0):
+                return out
+            out += np.where((sizes >= low) & (sizes <= top), keep, 0)
+
 
 class Shingles:
     """Sets of distinct shingle hashes of a batch of texts: text d has hashes[first[d]:first[d + 1]], ascending."""
@@ -104,37 +118,51 @@ class Shingles:
 def part_keys(sets: Shingles, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the kept parts of every set under each of its schemes, and the set of each."""
     keys, of = [], []
-    largest = int(sets.n.max()) if len(sets.n) else 0
-    for k, low, top, parts, drop in threshold.schemes():
-        if low > largest:
+    by_size = np.argsort(sets.n, kind="stable")
+    n = sets.n[by_size]
+    first = np.append(0, np.cumsum(n))
+    shingles = mix(sets.hashes[np.repeat(sets.first[by_size] - first[:-1], n) + np.arange(first[-1])] + _PART)
+    for k, low, top, parts, keep in threshold.schemes():
+        if low > (n[-1] if len(n) else 0):
             break
-        mine = np.flatnonzero((sets.n >= low) & (sets.n <= top))
+        mine = np.arange(*np.searchsorted(n, [low, top + 1]))
         if not len(mine):
             continue
-        member = np.zeros(len(sets.n), bool)
-        member[mine] = True
-        rows = np.flatnonzero(member[sets.text])
-        shingle, row = mix(sets.hashes[rows] + _PART), np.cumsum(member)[sets.text[rows]] - 1
-        for some in np.array_split(np.arange(len(mine)), max(1, len(mine) * parts >> 20)):  # bounds the table of parts
-            a, b = np.searchsorted(row, [some[0], some[-1] + 1])
-            cell = (row[a:b] - some[0]) * parts + (shingle[a:b] % np.uint64(parts)).astype(np.int64)
+        for some in np.array_split(mine, max(1, min(len(mine), len(mine) * parts >> 20))):  # bounds the table of parts
+            here = shingles[first[some[0]] : first[some[-1] + 1]]
+            cell = np.repeat(np.arange(len(some)) * parts, n[some]) + (here % np.uint64(parts)).astype(np.int64)
             content, count = np.zeros(len(some) * parts, np.uint64), np.bincount(cell, minlength=len(some) * parts)
             order = np.argsort(cell, kind="stable")
             edges = np.flatnonzero(np.diff(cell[order], prepend=-1))
-            if len(edges):
-                content[cell[order][edges]] = np.add.reduceat(mix(shingle[a:b][order] ^ _PART), edges)
-            content = mix(content + mix(np.tile(np.arange(parts, dtype=np.uint64), len(some)) + np.uint64(k << 32)) + count.astype(np.uint64) * _PART).reshape(-1, parts)
-            count = count.reshape(-1, parts)
-            kept = np.ones(content.shape, bool)
-            np.put_along_axis(kept, np.argsort(count, axis=1, kind="stable")[:, :drop], False, axis=1)
-            kept[(count == 0) & ((count == 0).sum(axis=1, keepdims=True) <= 2 * drop)] = False
-            keys.append(content[kept])
-            of.append(np.repeat(mine[some], kept.sum(axis=1)))
+            content[cell[order][edges]] = np.add.reduceat(mix(here[order] ^ _PART), edges)
+            content = mix(content + mix(np.tile(np.arange(parts, dtype=np.uint64), len(some)) + np.uint64(k << 32)) + count.astype(np.uint64) * _PART)
+            # Richest first, then by content: an order that equal parts share. Parts without a shingle come last.
+            ranked = (np.uint64(255) - np.minimum(count, 255).astype(np.uint64)) << np.uint64(56) | content >> np.uint64(8)
+            keys.append(mix(np.partition(ranked.reshape(-1, parts), keep - 1, axis=1)[:, :keep]).ravel())
+            of.append(np.repeat(by_size[some], keep))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(of)
 
 
+def signatures(sets: Shingles) -> list[bytes]:
+    """A bitmap of every set, of a power of two of bits: two to four a shingle, 64 at least."""
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sets.n, 1))).astype(np.int64))
+    start = np.append(0, np.cumsum(width))
+    flat = np.zeros(start[-1], np.uint8)
+    flat[start[sets.text] + (mix(sets.hashes) & (width[sets.text] - 1).astype(np.uint64)).astype(np.int64)] = 1
+    packed = np.packbits(flat).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in itertools.pairwise(start.tolist())]
+
+
+def most_common(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> int:
+    """The most shingles that two sets can share, by their signatures (words of 64 bits) and sizes."""
+    if len(a) < len(b):
+        a, b, n_a, n_b = b, a, n_b, n_a
+    a = np.bitwise_or.reduce(a.reshape(-1, len(b)), axis=0)  # as if made of as many bits as b
+    return int(np.bitwise_count(a & b).sum()) + min(n_a - int(np.bitwise_count(a).sum()), n_b - int(np.bitwise_count(b).sum()))
+
+
 class Forest:
     """Union-find over 0..n-1; the root of a tree is its least member."""
 
@@ -236,82 +264,138 @@ class SignatureTree:
         return self.forest
 
 
-_CLASSES = "doc_id bigint, block bigint, n_shingles bigint, low bigint, high bigint"
-
-
-def classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, block, the size of its shingle set, and a 128-bit name of that set, of every row."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = Shingles(batch["text"], width)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["block"], pa.array(sets.n), *map(pa.array, sets.digests())], names=["doc_id", "block", "n_shingles", "low", "high"])
-
-    return docs.select("doc_id", "block", "text").mapInArrow(measure, _CLASSES)
-
-
-_PARTS = pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("of", pa.binary())])
+_PARTS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("of", pa.binary())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("small", pa.bool_())])
+_PLACE = 20  # bits of a row's place in its block
 
 
-def _send(table: pa.Table, width: int, threshold: Threshold, shards: int) -> pa.Table:
-    """The parts of a block's sets by shard; of equal sets only the one with the least id is sent."""
-    table = table.sort_by("doc_id")
-    sets = Shingles(table["text"], width)
-    _, _, place = tally(sets.digests()[0].view(np.uint64) ^ mix(sets.digests()[1].view(np.uint64)))
-    least = np.full(place.max(initial=-1) + 1, len(place))
-    np.minimum.at(least, place, np.arange(len(place)))
-    keys, of = part_keys(sets, threshold)
-    first = (least[place] == np.arange(len(place)))[of]
-    keys, of = keys[first], of[first]
+def _send(block: int, texts: pa.Array, locals_: np.ndarray, width: int, threshold: Threshold, shards: int) -> pa.Table:
+    """The parts of a block's sets by shard; locals_ are the places of the texts, which speak for their classes."""
+    keys, of = part_keys(Shingles(texts, width), threshold)
     order = np.argsort(keys, kind="stable")
-    keys, of = keys[order], of[order]
-    ids = table["doc_id"].to_numpy()
-    out = []
-    for s, (a, b) in enumerate(itertools.pairwise(shard_bounds(keys, shards).tolist())):
-        if a < b:
-            mine, index = np.unique(of[a:b], return_inverse=True)
-            out.append({"shard": s, "keys": pack_sorted(keys[a:b]), "ids": ids[mine].astype("<i8").tobytes(), "of": index.astype("<u2" if len(mine) <= 1 << 16 else "<u4").tobytes()})
-    return pa.Table.from_pylist(out, _PARTS)
+    keys, of = keys[order], locals_[of[order]].astype("<u4")
+    return pa.Table.from_pylist([{"shard": s, "block": block, "keys": pack_sorted(keys[a:b]), "of": of[a:b].tobytes()} for s, (a, b) in enumerate(itertools.pairwise(shard_bounds(keys, shards).tolist())) if a < b], _PARTS)
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _forest_edges(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """A spanning forest of the edges (a, b), each end a place in ids (ascending)."""
-    forest = Forest(len(ids))
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        forest.join(x, y)
-    root = np.array([forest.find(i) for i in range(len(ids))], np.int64)
-    some = np.flatnonzero(root != np.arange(len(ids)))
-    return pa.Table.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]])], schema=_EDGES)
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least that the edges (a, b) connect it with."""
+    least = np.arange(n)
+    while True:
+        low, new = np.minimum(least[a], least[b]), least.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, least):
+            return least
+        least = new
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Links of a shard's texts that agree in a part to the first such text."""
-    rows = table.to_pylist()
-    keys = np.concatenate([unpack_sorted(r["keys"]) for r in rows])
-    ids = np.concatenate([(mine := np.frombuffer(r["ids"], "<i8"))[np.frombuffer(r["of"], "<u2" if len(mine) <= 1 << 16 else "<u4")] for r in rows])
+    """Edges of a shard's classes: every pair that agrees in a part of few, and a forest over those that agree in parts of many."""
+    keys = np.concatenate([unpack_sorted(x.as_py()) for x in table["keys"]])
+    names = np.concatenate([np.frombuffer(x.as_py(), "<u4").astype(np.int64) | b.as_py() << _PLACE for x, b in zip(table["of"], table["block"], strict=True)])
     order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
-    same = np.append(False, keys[1:] == keys[:-1])
-    start = np.flatnonzero(~same)
-    head = np.repeat(ids[start], np.diff(np.append(start, len(ids))))
-    edges = np.unique(np.stack([ids[same], head[same]], axis=1), axis=0)
-    names, place = np.unique(edges, return_inverse=True)
-    place = place.reshape(-1, 2)
-    return _forest_edges(names, place[:, 0], place[:, 1])
+    keys, names = keys[order], names[order]
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    n = np.diff(np.append(start, len(keys)))
+    del keys, order
+    pairs = [np.zeros((0, 2), np.int64)]
+    for m in range(2, SMALL + 1):
+        at = start[n == m]
+        pairs += [np.sort(np.stack([names[at + i], names[at + j]], axis=1), axis=1) for i in range(m) for j in range(i + 1, m)]
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    many = np.repeat(n > SMALL, n)
+    members, place = np.unique(names[many], return_inverse=True)
+    size = n[n > SMALL]
+    heads = np.repeat(place[np.append(0, np.cumsum(size))[:-1]], size)
+    least = _least(len(members), place, heads)
+    some = np.flatnonzero(least != np.arange(len(members)))
+    give_back()
+    return pa.Table.from_arrays([pa.array(np.concatenate([pairs[:, 1], members[some]])), pa.array(np.concatenate([pairs[:, 0], members[least[some]]])), pa.array(np.arange(len(pairs) + len(some)) < len(pairs))], schema=_EDGES)
 
 
 def _link_group(table: pa.Table, percent: int) -> pa.Table:
     """A forest of the links between the sets of a group, or of a pair of its chunks."""
-    ids = table["doc_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
+    names = table["name"].to_numpy()
+    order = np.argsort(names, kind="stable")
     blobs = table["set"]
     forest = SignatureTree([unpack_sorted(blobs[int(i)].as_py()) for i in order], Threshold(percent)).connect()
-    root = np.array([forest.find(i) for i in range(len(ids))], np.int64)
-    ids = ids[order]
-    return pa.Table.from_arrays([pa.array(ids), pa.array(ids[root])], schema=_EDGES)
+    root = np.array([forest.find(i) for i in range(len(names))], np.int64)
+    names = names[order]
+    give_back()
+    return pa.Table.from_arrays([pa.array(names), pa.array(names[root])], names=["a", "b"])
+
+
+class Linked:
+    """The rows of docs in blocks, their classes, and the classes that links connect.
+
+    rows: block, local, doc_id, n_shingles, low, high (the set's 128-bit name). classes: name, n_shingles, low,
+    high, least_id, root (the least name that links reach). A set without shingles has no class.
+    """
+
+    def __init__(self, docs: DataFrame, percent: int, width: int) -> None:
+        threshold = Threshold(percent)
+
+        def measure(batch: pa.RecordBatch) -> list[pa.Array]:
+            sets = Shingles(batch["text"], width)
+            return [batch["doc_id"].cast(pa.int64()), pa.array(sets.n), *map(pa.array, sets.digests()), pa.array(threshold.n_keys(sets.n)), pa.array(signatures(sets), pa.binary())]
+
+        self.blocks: Blocks = in_blocks(docs, "jaccard", measure, "doc_id bigint, n_shingles bigint, low bigint, high bigint, n_keys bigint, signature binary")
+        self.rows = self.blocks.rows
+        name = F.shiftleft("block", _PLACE).bitwiseOR(F.col("local").cast("bigint")).alias("name")
+        set_of = ["n_shingles", "low", "high"]
+        classes = written(self.rows.where("n_shingles > 0").select(*set_of, "doc_id", "n_keys", name).groupBy(*set_of).agg(F.min("name").alias("name"), F.min("doc_id").alias("least_id"), F.first("n_keys").alias("n_keys")), "classes")
+        total = classes.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first()["n"]
+        shards = max(1, -(-total // SHARD_KEYS))
+        heads = classes.select(F.shiftright("name", _PLACE).alias("block"), F.col("name").bitwiseAND((1 << _PLACE) - 1).cast("int").alias("local"))
+
+        def send(block: int, batch: pa.RecordBatch, mine: pa.Table) -> pa.Table:
+            at = np.sort(mine["local"].to_numpy())
+            return _send(block, batch["text"].take(pa.array(at)), at, width, threshold, shards)
+
+        sent = self.blocks.meet(heads, send, "shard bigint, block bigint, keys binary, of binary", need=True)
+        edges = written(sent.groupBy("shard").applyInArrow(_candidates, "a bigint, b bigint, small boolean"), "candidates")
+        passed = self._pass(edges.where("small").select("a", "b").distinct(), self.rows.where("n_shingles > 0").select(name, "n_shingles", "signature"), threshold)
+        grouped = components(edges.where("not small").select("a", "b").union(passed)).toDF("name", "group")
+        grouped = grouped.union(grouped.select("group", "group").distinct()).toDF("name", "group")
+        wanted = written(grouped.join(classes.select("name", "n_shingles"), "name"), "wanted")
+        sizes = wanted.groupBy("group").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"))
+        chunks = F.ceil(F.greatest(F.col("total") / GROUP_SHINGLES, F.col("members") / GROUP_SETS)).alias("chunks")
+        wanted = wanted.join(sizes, "group").select("name", F.shiftright("name", _PLACE).alias("block"), "group", chunks)
+
+        def shingle_sets(block: int, batch: pa.RecordBatch, mine: pa.Table) -> pa.Table:
+            places = pa.array(mine["name"].to_numpy() & ((1 << _PLACE) - 1))
+            sets = Shingles(batch["text"].take(places), width)
+            blobs = [pack_sorted(sets.hashes[a:b]) for a, b in itertools.pairwise(sets.first.tolist())]
+            return pa.table({"name": mine["name"], "group": mine["group"], "chunks": mine["chunks"], "set": pa.array(blobs, pa.binary())})
+
+        sets = self.blocks.meet(wanted, shingle_sets, "name bigint, group bigint, chunks bigint, set binary", need=True)
+        # A set of a group in several chunks goes to every pair of chunks that its own is in; else there is one pair.
+        sets = sets.withColumn("mine", F.pmod(F.xxhash64("name"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        sets = sets.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "name", "set")
+        links = written(sets.groupBy("group", "i", "j").applyInArrow(lambda t: _link_group(t, percent), "a bigint, b bigint").where("a <> b"), "links")
+        forget(edges)
+        # A group in several chunks can give a class several links.
+        roots = components(links).toDF("name", "root")
+        self.classes = classes.join(roots, "name", "left").select("name", *set_of, "least_id", F.coalesce("root", "name").alias("root"))
+
+    @staticmethod
+    def _pass(pairs: DataFrame, marks: DataFrame, threshold: Threshold) -> DataFrame:
+        """The pairs (a, b) whose signatures leave enough overlap possible."""
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = [batch[c].to_numpy() for c in ("n_a", "n_b")]
+                ok = [
+                    most_common(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), n, m) >= threshold.least_common(n + m)
+                    for x, y, n, m in zip(batch["x"], batch["y"], *(s.tolist() for s in sizes), strict=True)
+                ]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        for end, n, x in (("a", "n_a", "x"), ("b", "n_b", "y")):
+            pairs = pairs.join(marks.toDF(end, n, x), end)
+        near = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold.percent)
+        return near.mapInArrow(check, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -319,44 +403,30 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
 
     docs needs doc_id and text; other columns are ignored. Words are runs without ASCII white space, A-Z
     lower-cased; a set has the distinct shingles of ``width`` words, and of a shorter text its words as one.
-    Per row: doc_id, n_shingles and component_id, the least doc_id that links reach. A text without words links
-    with nothing and is its own component. Null ids: the component of the text, as if the row had no id; null
-    if no other row has its set. Repeated rows give a row each. An empty table gives no rows.
+    A row for each row of docs: doc_id, n_shingles and component_id, the least doc_id that links of its text reach.
+    The rows are what links connect, so different texts under one id are two, each with its own component. A text
+    without words links with nothing and is its own component. A null id counts for nothing: such a row has the
+    component of its text, null if no row with an id is in it. Very long texts are taken whole. An empty table
+    gives no rows.
+    """
+    found = Linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, width)
+    least = found.classes.groupBy("root").agg(F.min("least_id").alias("component"))
+    classes = found.classes.join(least, "root").select("n_shingles", "low", "high", "component")
+    rows = found.rows.select("doc_id", "n_shingles", "low", "high").join(classes, ["n_shingles", "low", "high"], "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """docs, all columns kept, with one row of each component of ``join``.
+
+    It is the row with the least doc_id (rows without come last), of several with that id the one whose set's name
+    is least, then the first in the table. So of repeated rows one stays, rows without an id are no exception, and
+    of different texts under one id none goes for the id's sake. Rows without words are in no group and all stay.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks, n_blocks, shards = in_blocks(docs, ["doc_id", "text"], text_bytes(docs))
-    named = written(classes(docs.withColumn("block", block_of(n_blocks)), width), "classes")
-    heads = named.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("head"))
-    heads = written(heads, "heads")
-    threshold = Threshold(percent)
-
-    sent = blocks.where("doc_id is not null").groupBy("block").applyInArrow(lambda t: _send(t, width, threshold, shards), "shard bigint, keys binary, ids binary, of binary")
-    grouped = components(sent.groupBy("shard").applyInArrow(_candidates, "a bigint, b bigint"))
-    grouped = grouped.union(grouped.select("component", "component").distinct()).toDF("head", "group")
-    # Of a class only its head is compared; a group of one class has nothing to compare.
-    compared = grouped.join(heads, "head").withColumnRenamed("head", "doc_id")
-    wanted = compared.join(named.distinct(), ["doc_id", "n_shingles", "low", "high"]).select("doc_id", "block", "group", "n_shingles")
-    wanted = written(wanted, "wanted")
-    sizes = wanted.groupBy("group").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).where("members > 1")
-    wanted = written(wanted.join(sizes, "group").select("doc_id", "block", "group", F.ceil(F.greatest(F.col("total") / GROUP_SHINGLES, F.col("members") / GROUP_SETS)).alias("chunks")), "wanted")
-
-    def shingle_sets(texts: pa.Table, ids: pa.Table) -> pa.Table:
-        ids = ids.group_by("doc_id").aggregate([("group", "min"), ("chunks", "min")])
-        texts = texts.select(["doc_id", "text"]).join(ids, "doc_id", join_type="inner") if texts.num_rows and ids.num_rows else None
-        if texts is None or not texts.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "group": pa.array([], pa.int64()), "chunks": pa.array([], pa.int64()), "set": pa.array([], pa.binary())})
-        sets = Shingles(texts["text"], width)
-        blobs = [pack_sorted(sets.hashes[a:b]) for a, b in itertools.pairwise(sets.first.tolist())]
-        return pa.table({"doc_id": texts["doc_id"], "group": texts["group_min"], "chunks": texts["chunks_min"], "set": pa.array(blobs, pa.binary())})
-
-    sets = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(shingle_sets, "doc_id bigint, group bigint, chunks bigint, set binary")
-    # A set of a group in several chunks goes to every pair of chunks that its own is in; else there is one pair.
-    sets = sets.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    sets = sets.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "set")
-    links = written(sets.groupBy("group", "i", "j").applyInArrow(lambda t: _link_group(t, percent), "a bigint, b bigint").where("a <> b"), "links")
-    # A group in several chunks, or an id with unlike texts, can give an id several links.
-    links = components(links).toDF("a", "b")
-    # One row per class, then one join that the copies take part in.
-    heads = heads.join(links.select(F.col("a").alias("head"), "b"), "head", "left").select("n_shingles", "low", "high", F.coalesce("b", "head").alias("component"))
-    found = named.join(heads, ["n_shingles", "low", "high"], "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = Linked(docs, percent, width)
+    rows = found.rows.join(found.classes.select("n_shingles", "low", "high", "root"), ["n_shingles", "low", "high"], "left")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "low", "high", "block", "local")
+    first = rows.where("root is not null").groupBy("root").agg(F.min_by(F.struct("block", "local"), order).alias("_")).select("_.*")
+    kept = first.unionByName(found.rows.where("n_shingles = 0").select("block", "local"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return found.blocks.meet(kept, lambda _, batch, mine: pa.Table.from_batches([batch.take(pa.array(np.sort(mine["local"].to_numpy())))]), columns, need=True)

@@ -7,8 +7,8 @@ cover positions (5 of 21 for L = 35) are hashed and exchanged in the first round
 nowhere else no run can be shared; where it does, it is extended: the full runs around it are hashed to 128
 bits and exchanged in the second round, which settles which of them occur again.
 
-Both rounds go through blocks and shards (see ``blocks``); a run that a third of all texts share costs a shard
-one entry per block, and the answer is one bit per entry.
+Both rounds are questions of blocks to shards (see ``exchange``); a run that a third of all texts share costs a
+shard one entry per block.
 """
 
 from __future__ import annotations
@@ -17,14 +17,18 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.blocks import in_blocks, shard_bounds, text_bytes, written
-from rollbook.llm.words import Words, covered, pack_sorted, tally, unpack_sorted, window_starts, windows
+from rollbook.llm.blocks import in_blocks
+from rollbook.llm.exchange import ASKED, Keys, Route, ask, settle, tally_pairs, totals_of
+from rollbook.llm.words import Words, covered, tally, window_starts, windows
 
 #: Perfect difference sets by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
+#: Bytes of text whose keys a shard holds.
+SHARD_BYTES = 32 << 20
 #: An anchor has at least this share of the run's words.
 LEAST_ANCHOR = 0.4
 
@@ -49,7 +53,8 @@ class Runs:
         inside = starts - np.repeat(self.words.first[:-1], np.maximum(self.words.n - width + 1, 0))
         starts = starts[np.isin(inside % period, residues)]
         self.anchor_at = starts
-        self.keys, self.counts, self.place = tally(windows(self.hashes, width)[starts])
+        low, counts, self.place = tally(windows(self.hashes, width)[starts])
+        self.keys = Keys(low, np.minimum(counts, 2))
 
     def extend(self, repeated: np.ndarray) -> None:
         """Runs around the anchors of which repeated (by distinct key) says that they occur again."""
@@ -62,67 +67,15 @@ class Runs:
         starts = window_starts(self.words, self.length)
         self.run_at = starts[near[starts]]
         low, high = (windows(self.hashes, self.length, lane)[self.run_at] for lane in (0, 1))
-        self.low, self.high, self.run_counts, self.run_place = _tally_pairs(low, high)
-
-
-def _tally_pairs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, how often each occurs, and each row's place among them."""
-    order = np.lexsort((high, low))
-    a, b = low[order], high[order]
-    new = np.empty(len(a), bool)
-    new[:1], new[1:] = True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
-    place = np.empty(len(a), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return a[at], b[at], np.diff(np.append(at, len(a))), place
-
-
-_SENT = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("twice", pa.binary())])
-_SENT_DDL = "shard bigint, block bigint, low binary, high binary, twice binary"
-_BITS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("round", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
-_BITS_DDL = "shard bigint, block bigint, round bigint, n bigint, bits binary"
-
-
-def _send(block: int, low: np.ndarray, high: np.ndarray | None, counts: np.ndarray, shards: int) -> pa.Table:
-    at = shard_bounds(low, shards)
-    return pa.Table.from_pylist([
-        {"shard": s, "block": block, "low": pack_sorted(low[a:b]), "high": high[a:b].tobytes() if high is not None else None, "twice": np.packbits(counts[a:b] > 1).tobytes()}
-        for s, (a, b) in enumerate(itertools.pairwise(at.tolist())) if a < b
-    ], _SENT)
-
-
-def _settle(table: pa.Table, which: int) -> pa.Table:
-    """Which keys of a shard occur again: twice in one block, or in two blocks."""
-    rows = table.to_pylist()
-    low = [unpack_sorted(r["low"]) for r in rows]
-    weight = np.concatenate([1 + np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(k)) for r, k in zip(rows, low, strict=True)]).astype(np.int64)
-    if rows[0]["high"] is None:
-        _, total, place = tally(np.concatenate(low), weight)
-    else:
-        *_, place = _tally_pairs(np.concatenate(low), np.concatenate([np.frombuffer(r["high"], np.uint64) for r in rows]))
-        total = np.bincount(place, weight)
-    again = total[place] > 1
-    ends = np.cumsum([len(k) for k in low])
-    return pa.Table.from_pylist([{"shard": r["shard"], "block": r["block"], "round": which, "n": len(k), "bits": np.packbits(again[e - len(k) : e]).tobytes()} for r, k, e in zip(rows, low, ends.tolist(), strict=True)], _BITS)
-
-
-def _bits(answers: pa.Table, which: int) -> np.ndarray:
-    rows = sorted((r for r in answers.to_pylist() if r["round"] == which), key=lambda r: r["shard"])
-    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in rows)])
+        low, high, counts, self.run_place = tally_pairs(low, high)
+        self.runs = Keys(low, np.minimum(counts, 2), high)
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
-_KEPT_DDL = "doc_id bigint, n_words bigint, n_removed bigint, text string"
-
-
-def _cut(docs: pa.Table, answers: pa.Table, length: int) -> pa.Table:
-    if not docs.num_rows:
-        return _KEPT.empty_table()
-    runs = Runs(docs["text"], length)
-    runs.anchors()
-    runs.extend(_bits(answers, 1))
+def _cut(docs: pa.RecordBatch, runs: Runs, again: np.ndarray) -> pa.Table:
+    """The texts without the words of runs of which again (by distinct run) says that they occur again."""
     words = runs.words
-    gone = covered(runs.run_at[_bits(answers, 2)[runs.run_place]], length, len(words))
+    gone = covered(runs.run_at[again[runs.run_place]], runs.length, len(words))
     lost = np.append(0, np.cumsum(gone))
     lost = lost[words.first[1:]] - lost[words.first[:-1]]
     texts = []
@@ -131,35 +84,37 @@ def _cut(docs: pa.Table, answers: pa.Table, length: int) -> pa.Table:
         if lost[d]:
             parts = itertools.compress(parts, (~gone[words.first[d] : words.first[d + 1]]).tolist())
         texts.append(b" ".join(parts))
-    return pa.Table.from_arrays([docs["doc_id"].combine_chunks(), pa.array(words.n), pa.array(lost), pa.array(texts, pa.binary()).cast(pa.string())], schema=_KEPT)
+    return pa.Table.from_arrays([docs["doc_id"], pa.array(words.n), pa.array(lost), pa.array(texts, pa.binary()).cast(pa.string())], schema=_KEPT)
 
 
-def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, route: Route | None = None) -> DataFrame:
     """Texts without the words that lie in a run of ``length`` words which also starts anywhere else.
 
     docs needs doc_id and text; other columns are ignored. Per row: doc_id, n_words, n_removed and text, the
     words that stay joined by one space. All occurrences of a run are removed, the first included, and runs
     are judged on the input. A null text has no words; a null id stays null; repeated rows are copies of each
-    other, so what they hold in runs goes from both. An empty table gives no rows.
+    other, so what they hold in runs goes from both; very long texts are taken whole. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    blocks, _, shards = in_blocks(docs, ["doc_id", "text"], text_bytes(docs))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = in_blocks(docs, "substrings")
+    route = route or Route.between(blocks.n, max(1, -(-blocks.n_bytes // SHARD_BYTES)))
+    edges = route.first
 
-    def send_anchors(table: pa.Table) -> pa.Table:
-        runs = Runs(table["text"], length)
+    def anchored(batch: pa.RecordBatch) -> Runs:
+        runs = Runs(batch["text"], length)
         runs.anchors()
-        return _send(table["block"][0].as_py(), runs.keys, None, runs.counts, shards)
+        return runs
 
-    def send_runs(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _SENT.empty_table()
-        runs = Runs(table["text"], length)
-        runs.anchors()
-        runs.extend(_bits(answers, 1))
-        return _send(table["block"][0].as_py(), runs.low, runs.high, runs.run_counts, shards)
-
-    first = written(blocks.groupBy("block").applyInArrow(send_anchors, _SENT_DDL).groupBy("shard").applyInArrow(lambda t: _settle(t, 1), _BITS_DDL), "substrings")
-    sent = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_runs, _SENT_DDL)
-    second = sent.groupBy("shard").applyInArrow(lambda t: _settle(t, 2), _BITS_DDL)
-    answers = first.unionByName(second).groupBy("block")
-    return blocks.groupBy("block").cogroup(answers).applyInArrow(lambda left, right: _cut(left, right, length), _KEPT_DDL)
+    def extended(batch: pa.RecordBatch, told: pa.Table) -> Runs:
+        runs = anchored(batch)
+        runs.extend(totals_of(told, [runs.keys])[0] > 1)
+        return runs
+
+    def cut(block: int, batch: pa.RecordBatch, told: pa.Table) -> pa.Table:
+        runs = extended(batch, told.filter(pa.compute.equal(told["round"], 1)))
+        return _cut(batch, runs, totals_of(told.filter(pa.compute.equal(told["round"], 2)), [runs.runs])[0] > 1)
+
+    first = settle(blocks.map(lambda block, batch: ask(block, [anchored(batch).keys], edges), ASKED), route, "anchors", most=2).select("shard", "block", "reply")
+    second = settle(blocks.meet(first, lambda block, batch, told: ask(block, [extended(batch, told).runs], edges), ASKED), route, "runs", most=2).select("shard", "block", "reply")
+    told = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
+    return blocks.meet(told, cut, "doc_id bigint, n_words bigint, n_removed bigint, text string")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.blocks import shared_dir, written
+from rollbook.sources.shared import shared_dir, written
 
 CHUNK_BYTES = 1 << 20
 #: An archive is closed once so much payload is in it.

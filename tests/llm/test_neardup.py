@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from rollbook.llm import neardup
-from rollbook.llm.components import components
+from rollbook.operators.entities import components
 from tests.llm import fixtures as fx
 
 
@@ -29,7 +29,7 @@ def plain(rows, percent, width):
         if doc is not None:
             root = forest.find(i)
             least[root] = min(doc, least.get(root, doc))
-    return sorted(((doc, len(sets[i]), least[forest.find(i)]) for i, (doc, _) in enumerate(rows)), key=repr)
+    return sorted(((doc, len(sets[i]), least.get(forest.find(i))) for i, (doc, _) in enumerate(rows)), key=repr)
 
 
 def variants(seed):
@@ -51,7 +51,7 @@ def variants(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_pairs(spark, monkeypatch, percent, width, seed):
     monkeypatch.setattr("rollbook.llm.blocks.BLOCK_BYTES", 3000)
-    monkeypatch.setattr("rollbook.llm.blocks.SHARD_BYTES", 9000)
+    monkeypatch.setattr(neardup, "SHARD_KEYS", 900)
     rows = variants(seed)
     assert fx.rows(neardup.join(fx.documents(spark, rows), percent, width)) == plain(rows, percent, width)
 
@@ -62,15 +62,53 @@ def test_groups_in_several_chunks(spark, monkeypatch):
     assert fx.rows(neardup.join(fx.documents(spark, rows), 80, 4)) == plain(rows, 80, 4)
 
 
+def test_only_parts_of_many(spark, monkeypatch):
+    """Without the listing of pairs, and with all of it, the links are the same."""
+    rows = variants(5)
+    for small in (1, 30):
+        monkeypatch.setattr(neardup, "SMALL", small)
+        assert fx.rows(neardup.join(fx.documents(spark, rows), 80, 4)) == plain(rows, 80, 4)
+
+
 def test_awkward_rows(spark):
-    rows = [(i, t) for i, t in fx.texts() if i != 25]
-    got = fx.rows(neardup.join(fx.documents(spark, rows), 85, 4))
-    want = plain([r for r in rows if r[0] is not None], 85, 4)
-    assert [r for r in got if r[0] is not None] == want
-    assert [r[2] for r in got if r[0] is None and r[1]] == [13, None] or [r[2] for r in got if r[0] is None] == [None, 13]
+    rows = fx.texts()
+    assert fx.rows(neardup.join(fx.documents(spark, rows), 85, 4)) == plain(rows, 85, 4)
     assert fx.rows(neardup.join(fx.documents(spark, []))) == []
 
 
+def test_rows_in_are_rows_out(spark):
+    a, b, c = (fx.prose(k, 80) for k in (41, 42, 43))
+    rows = [(10, a), (25, a + " x"), (25, b + " x"), (11, b), (40, c), (25, a + " x")]
+    assert fx.rows(neardup.join(fx.documents(spark, rows))) == plain(rows, 80, 5)
+    assert len(plain(rows, 80, 5)) == 6
+
+
+def test_keep_one_loses_no_text(spark):
+    a, b, c, d = (fx.prose(k, 80) for k in (41, 42, 43, 44))
+    rows = [(30, a), (25, a + " x"), (25, b + " x"), (31, b), (40, c), (25, d), (None, d), (None, c + " y"), (25, d), (None, a[:300]), (None, a[:300]), (5, None), (5, "")]
+    kept = neardup.keep_one(fx.documents(spark, rows))
+    assert kept.columns == fx.documents(spark, rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(25, a + " x"), (25, b + " x"), (40, c), (25, d), (None, a[:300]), (5, None), (5, "")], key=repr)
+
+
+def test_chance_meetings_do_not_chain(spark):
+    """A chain of texts, each of which shares a passage with the next: links are none, and no group has them all."""
+    rows = [(i, " ".join(f"p{i}w{k}" for k in range(25)) + " " + " ".join(f"p{i + 1}w{k}" for k in range(25))) for i in range(400)]
+    found = neardup.Linked(fx.documents(spark, rows).select("doc_id", "text"), 80, 5)
+    assert found.classes.where("root <> name").count() == 0
+    assert found.classes.count() == 400
+
+
+def test_signatures_bound_the_overlap():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        base = r.integers(0, 2**63, 400).astype(np.uint64)
+        some = [np.unique(r.choice(base, r.integers(1, 400), replace=False)) for _ in range(2)]
+        sets = SimpleNamespace(hashes=np.concatenate(some), text=np.repeat([0, 1], [len(x) for x in some]), n=np.array([len(x) for x in some]))
+        x, y = (np.frombuffer(b, "<u8") for b in neardup.signatures(sets))
+        assert len(np.intersect1d(*some)) <= neardup.most_common(x, y, len(some[0]), len(some[1])) <= min(map(len, some))
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95, 100])
 def test_schemes_bound_every_linked_pair(percent):
     threshold, schemes = neardup.Threshold(percent), []
@@ -82,11 +120,11 @@ def test_schemes_bound_every_linked_pair(percent):
     for _ in range(5000):
         a = r.randint(1, 400)
         b = r.randint(a, min(400, a * 100 // percent))
-        _, low, top, parts, drop = max(s for s in schemes if s[1] <= a)
+        _, low, top, parts, keep = max(s for s in schemes if s[1] <= a)
         least = threshold.least_common(a + b)
         if least <= a:
             assert low <= a <= b <= top
-            assert a + b - 2 * least + 2 * drop < parts
+            assert a + b - 2 * least < keep < parts
             assert threshold.linked(least, a, b) and not threshold.linked(least - 1, a, b)
 
 
@@ -124,7 +162,7 @@ def test_linked_sets_share_a_part():
                 pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
                 same = next(k for k in range(1, n + 1) if threshold.linked(k, n, n))
                 a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:same], pool[n : 2 * n - same]]))
-                sets = SimpleNamespace(hashes=np.concatenate([a, b]), text=np.repeat([0, 1], n), n=np.array([n, n]))
+                sets = SimpleNamespace(hashes=np.concatenate([a, b]), text=np.repeat([0, 1], n), n=np.array([n, n]), first=np.array([0, n, 2 * n]))
                 keys, of = neardup.part_keys(sets, threshold)
                 assert np.intersect1d(keys[of == 0], keys[of == 1]).size, (percent, n)
 
@@ -145,10 +183,3 @@ def test_blocks_of_bitmaps_find_all_links():
             if threshold.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
                 plain.join(i, j)
     assert [forest.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
-
-
-def test_unlike_texts_under_one_id_link_their_components_in_a_small_group(spark):
-    one, two = ("".join(f"{w}{i} " for i in range(60)) for w in ("left", "right"))
-    rows = [(3, one + "end"), (5, one), (5, two), (4, two + "end")]
-    got = neardup.join(fx.documents(spark, rows)).collect()
-    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (4, 3), (5, 3), (5, 3)]

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from rollbook.llm import substrings
+from rollbook.llm.exchange import Route
 from tests.llm import fixtures as fx
 
 
@@ -21,10 +22,15 @@ def plain(rows, length):
 @pytest.mark.parametrize("length", [35, 12, 4, 1])
 def test_against_a_plain_version(spark, monkeypatch, length):
     monkeypatch.setattr("rollbook.llm.blocks.BLOCK_BYTES", 4096)
-    monkeypatch.setattr("rollbook.llm.blocks.SHARD_BYTES", 8192)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 8192)
     assert fx.rows(substrings.remove_repeats(fx.documents(spark), length)) == plain(fx.texts(), length)
 
 
+def test_over_nodes(spark, monkeypatch):
+    monkeypatch.setattr("rollbook.llm.blocks.BLOCK_BYTES", 4096)
+    assert fx.rows(substrings.remove_repeats(fx.documents(spark), 12, Route(6, 3, 2))) == plain(fx.texts(), 12)
+
+
 @pytest.mark.parametrize("period", substrings.COVERS)
 def test_covers_hold_for_every_shift(period):
     cover = set(substrings.COVERS[period])
