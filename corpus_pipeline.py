@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollbook.llm import fertility, neardup, packing, secrets, tiling
-from rollbook.llm.blocks import written
+from rollbook.sources.shared import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id.
+    """One row of each group of near copies (five-word shingles, similarity 0.8): see ``neardup.keep_one``.
 
-    Of rows that share an id one stays. Rows without an id cannot be told apart and all stay.
+    Groups are of rows, so neither repeated nor null ids lose a text that is no near copy of a kept one.
     """
-    found = neardup.join(docs, percent=80, width=5)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return neardup.keep_one(docs, percent=80, width=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
