@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollbook.llm import tiling
@@ -75,3 +78,25 @@ def test_empty_tables(spark):
     assert tiling.find_leaks(docs, none).collect() == []
     assert tiling.drop_leaks(docs, none).count() == docs.count()
     assert tiling.find_leaks(fx.documents(spark, []), spark.createDataFrame([(1, fx.prose(1, 30), "", "")], BENCHMARK)).collect() == []
+
+
+def test_tiles_of_few_words():
+    """Sequences over two words, where matches overlap in every way."""
+    r = random.Random(2)
+    for _ in range(300):
+        text, item = ([r.choice("ab" if r.random() < 0.9 else "abc") for _ in range(r.randint(0, 30))] for _ in range(2))
+        number = lambda words: np.array([ord(w) * 0x9E3779B97F4A7C15 % 2**64 for w in words], np.uint64)
+        least = r.choice([1, 2, 3, 5])
+        assert tiling.tile(number(text), number(item), least) == plain_tiles(text, item, least)
+
+
+def test_memory_is_linear_where_all_words_are_equal():
+    """A text of a million equal words against an item of 200: listing the pairs of places would take gigabytes."""
+    items = tiling.Items(["same " * 200, "same " * 150 + "other words end it"], 5)
+    text = pa.array(["same " * 1_000_000])
+    tracemalloc.start()
+    found = list(items.leaks(text, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i, sum(t[2] for t in tiles)) for d, i, tiles in found] == [(0, 0, 200), (0, 1, 150)]
+    assert peak < 400 << 20
