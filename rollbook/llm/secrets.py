@@ -1,23 +1,27 @@
 """Secret scans: fixed patterns, and guess costs for whatever stands in a credential's place.
 
-The guess cost of a value is the least number of guesses (log10) over all ways to cut it into common words,
-word-like letters, dates, repeats, keyboard walks, and brute-force characters, found by dynamic programming
-over its positions. A value in a credential's context that is costly to guess is a secret, whatever its form;
-a cheap one ("password: required") is prose or a placeholder.
+The guess cost of a value is the least number of guesses (log10) over all ways to cut it into spans, found by
+dynamic programming over its positions: common words (by rank in a dictionary, with the usual substitutions),
+word-like letters, dates, repeats, keyboard walks, and brute force for single characters. Every span of each kind
+takes part. A value in a credential's context that is costly to guess is a secret, whatever its form; a cheap one
+("password: required") is prose or a placeholder.
+
+The dictionary has two parts: words that guessers' lists start with, then the words that are most frequent in all
+the texts that are scanned, ranked by their count.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.words import slices
+from rollbook.llm.words import Words, slices, tally
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 guesses from which a value counts as a secret.
@@ -36,15 +40,17 @@ WORDS = (
     "insert", "enter", "todo", "redacted", "xxxx", "foo", "bar", "baz", "love", "sunshine", "princess", "football", "baseball", "iloveyou", "summer", "winter", "spring", "autumn", "hello", "server",
     "database", "system", "service", "account", "name", "email", "company", "client", "config", "env", "environment", "process", "variable", "not", "and", "for", "new", "old", "data",
 )
-_RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+#: Words of the texts that the dictionary takes in, at most; their least and most bytes.
+DICTIONARY, SHORTEST, LONGEST = 20_000, 3, 16
+_NOT_LETTER = bytes(b for b in range(0x80) if not 0x61 <= b <= 0x7A)
 _LEET = str.maketrans("013457@$!", "oieastasi")
-_DATE = re.compile(r"(?:19|20)\d\d[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)\d\d|(?:19|20)\d\d")
-_LETTERS = re.compile(r"[^\W\d_]{3,16}")
-_REPEAT = re.compile(r"(.{1,4}?)\1{2,}")
+_DATE = re.compile(r"(?:19|20)\d\d[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
+_DATE_SIZES = (4, 8, 9, 10)
 _CLASSES = ((re.compile(r"[0-9]"), 10), (re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[^0-9A-Za-z]"), 33))
-#: log10 guesses for a run of letters that alternates as words of a language do, whatever the word.
-_WORDLIKE = 6.0
+#: log10 guesses for letters that alternate as words of a language do, whatever the word; so many vowels or consonants in a row are too many.
+_WORDLIKE, _VOWELS, _MOST_VOWELS, _MOST_CONSONANTS = 6.0, frozenset("aeiouyáéíóúàèùâêôäöüåæø"), 3, 4
+#: A walk's characters at most; a repeat's unit, and how often it occurs at least.
+_LONGEST_WALK, _UNIT, _TIMES = 32, 4, 3
 _WALKS = {row[i : i + 2] for row in _KEYBOARD for i in range(len(row) - 1)} | {row[i + 1] + row[i] for row in _KEYBOARD for i in range(len(row) - 1)}
 
 
@@ -52,40 +58,96 @@ def _capitals(span: str) -> float:
     return 0.0 if span == span.lower() else math.log10(2) if span in (span.upper(), span.capitalize()) else len(span) * math.log10(2)
 
 
-@lru_cache(maxsize=1 << 14)
+class Guesser:
+    """Guess costs under a dictionary: words, most common first."""
+
+    def __init__(self, words: Sequence[str] = ()) -> None:
+        self.rank = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(dict.fromkeys([*WORDS, *words]))))}
+        self.longest = max(map(len, self.rank))
+
+    def cost(self, value: str, enough: float = math.inf) -> float:
+        """log10 of the guesses that the cheapest segmentation of value takes; 0 for an empty one.
+
+        Of a value that takes ``enough`` guesses only that much may be found out; so the time for one is linear.
+        """
+        n, low = len(value), value.lower()
+        low = low if len(low) == n else value
+        plain, rank = low.translate(_LEET), self.rank
+        one = math.log10(sum(size for pattern, size in _CLASSES if pattern.search(value)) or 1)
+        if not re.search("[^0-9a-f]", low) and re.search("[a-f]", low) and re.search("[0-9]", low):
+            one = math.log10(16)
+        cost = [0.0] * (n + 1)
+        letters = vowels = consonants = walk = 0  # how many of the last characters are these
+        streak = [0] * (_UNIT + 1)
+        starts: list[dict[int, list[int]]] = [{} for _ in range(_UNIT + 1)]
+        for j in range(1, n + 1):
+            best, ch = cost[j - 1] + one, low[j - 1]
+            for i in range(max(0, j - self.longest), j - 1):
+                r = rank.get(low[i:j])
+                if r is None:
+                    r = rank.get(plain[i:j])
+                    r = None if r is None else r + 0.5
+                if r is not None:
+                    best = min(best, cost[i] + r + _capitals(value[i:j]))
+            if "0" <= ch <= "9":
+                for size in _DATE_SIZES:
+                    if size <= j and _DATE.fullmatch(value, j - size, j):
+                        best = min(best, cost[j - size] + math.log10(120 * (365 if size > 4 else 1)))
+            is_letter, is_vowel = ch.isalpha(), ch in _VOWELS
+            letters, vowels, consonants = (letters + 1 if is_letter else 0), (vowels + 1 if is_vowel else 0), (consonants + 1 if is_letter and not is_vowel else 0)
+            # Too long a run of vowels or consonants anywhere in a span bars it, so letters count from within such a run.
+            letters = min(letters, _MOST_VOWELS if vowels > _MOST_VOWELS else letters, _MOST_CONSONANTS if consonants > _MOST_CONSONANTS else letters)
+            for i in range(j - min(letters, LONGEST), j - SHORTEST + 1):
+                span = value[i:j]
+                if span in (span.lower(), span.upper(), span.capitalize()):
+                    best = min(best, cost[i] + min(_WORDLIKE, (j - i) * math.log10(26)) + _capitals(span))
+            walk = walk + 1 if low[j - 2 : j] in _WALKS and j > 1 else 1
+            for i in range(j - min(walk, _LONGEST_WALK), j - 2):
+                best = min(best, cost[i] + math.log10(47 * (j - i)) + _capitals(value[i:j]))
+            for u in range(1, _UNIT + 1):
+                streak[u] = streak[u] + 1 if j > u and ch == low[j - 1 - u] else 0
+                if not streak[u]:
+                    starts[u].clear()
+                elif streak[u] >= (_TIMES - 1) * u:
+                    # A start that an earlier one undercuts now is undercut for good: the longer a repeat, the less it matters.
+                    kept: list[int] = []
+                    least = math.inf
+                    for i in [*starts[u].get(j % u, ()), j - _TIMES * u]:
+                        c = cost[i] + u * one + math.log10((j - i) // u)
+                        if c < least:
+                            least = c
+                            kept.append(i)
+                    starts[u][j % u] = kept
+                    best = min(best, least)
+            cost[j] = best
+            if j >= _LONGEST_WALK and best >= enough and min(cost[j - _LONGEST_WALK + 1 : j + 1]) >= enough and all(cost[i] + u * one >= enough for u in range(1, _UNIT + 1) for at in starts[u].values() for i in at):
+                return enough
+        return cost[n]
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of value takes; 0 for an empty one."""
-    n, low = len(value), value.lower()
-    plain = low.translate(_LEET)
-    one = math.log10(sum(size for pattern, size in _CLASSES if pattern.search(value)) or 1)
-    if not re.search("[^0-9a-f]", low) and re.search("[a-f]", low) and re.search("[0-9]", low):
-        one = math.log10(16)
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for k in range(2, min(_LONGEST, n - i) + 1):
-            word = plain[i : i + k]
-            if word in _RANK:
-                spans[i + k].append((i, _RANK[word] + _capitals(value[i : i + k]) + (0.5 if word != low[i : i + k] else 0)))
-    for m in _DATE.finditer(value):
-        spans[m.end()].append((m.start(), math.log10(365 * 120) if len(m[0]) > 4 else math.log10(120)))
-    for m in _LETTERS.finditer(value):
-        if len(m[0]) >= 3 and not re.search(r"[^aeiouyáéíóúàèùâêôäöüåæø]{5}|[aeiouyáéíóúàèùâêôäöüåæø]{4}", m[0].lower()) and m[0] in (m[0].lower(), m[0].upper(), m[0].capitalize()):
-            spans[m.end()].append((m.start(), min(_WORDLIKE, len(m[0]) * math.log10(26)) + _capitals(m[0])))
-    for m in _REPEAT.finditer(low):
-        spans[m.end()].append((m.start(), len(m[1]) * one + math.log10(len(m[0]) // len(m[1]))))
-    start = 0
-    for i in range(1, n + 1):
-        if i == n or low[i - 1 : i + 1] not in _WALKS:
-            if i - start >= 3:
-                spans[i].append((start, math.log10(47 * (i - start)) + _capitals(value[start:i])))
-            start = i
-    cost = [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        cost[j] = min([cost[j - 1] + one, *(cost[i] + c for i, c in spans[j])])
-    return cost[n]
-
-
-def spans_of(text: str) -> list[tuple[int, int, str]]:
+    """Under the guessers' words alone."""
+    return Guesser().cost(value)
+
+
+def dictionary(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
+    """The ``most`` most frequent words of all texts: runs of a-z (A-Z lower-cased) and non-ASCII characters of 3 to 16 bytes; ties by word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(batch["text"], fold=True, separators=_NOT_LETTER)
+            size = words.ends - words.starts
+            at = np.flatnonzero((size >= SHORTEST) & (size <= LONGEST))
+            _, n, place = tally(words.hashes()[at])
+            some = np.empty(len(n), np.int64)
+            some[place] = at
+            yield pa.RecordBatch.from_arrays([pa.array([words.bytes_of(i) for i in some.tolist()], pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def spans_of(text: str, guesser: Guesser | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start, then by kind as in KINDS. Matches of a kind do not overlap."""
     found, low = [], text.lower()
     if any(w in low for w in ("password", "passwd", "secret", "token", "api")):
@@ -96,23 +158,25 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     if any(w in low for w in _HINTS):
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".:!?")
-            if guess_cost(value) >= LEAST_COST:
+            if (guesser or Guesser()).cost(value, LEAST_COST) >= LEAST_COST:
                 found.append((m.start(1), m.start(1) + len(value), "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def find_secrets(docs: DataFrame, words: Sequence[str] | None = None) -> DataFrame:
     """doc_id and secrets, an array of (start, end, kind) in code points, of every row.
 
     docs needs doc_id and text; other columns are ignored. Kinds: assign, access, hex (fixed patterns) and guess
-    (a value in a credential's context that takes 10**LEAST_COST guesses). A null or empty text has none; null
-    and repeated ids give a row each; an empty table gives no rows. One pass over whole texts, no exchange.
+    (a value in a credential's context that takes 10**LEAST_COST guesses). words is the dictionary after the
+    guessers' own; without it that of all the texts. Spans that tie in their start go by kind. A null or empty text
+    has none; null and repeated ids give a row each; an empty table gives no rows. Whole texts, values of any length.
     """
+    guesser = Guesser(dictionary(docs) if words is None else words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for batch in slices(batches):
-            found = [[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(t)] if t else [] for t in batch["text"].to_pylist()]
+            found = [[{"start": a, "end": b, "kind": k} for a, b, k in spans_of(t, guesser)] if t else [] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, kind)], names=["doc_id", "secrets"])
 
     docs = docs.select("doc_id", "text")
@@ -129,13 +193,18 @@ def mask(text: str, found: list[tuple[int, int, str]], fill: str = "<SECRET>") -
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs, all rows and columns kept, with the secrets in text replaced by <SECRET>; n_chars, if there, follows."""
+def redact(docs: DataFrame, words: Sequence[str] | None = None) -> DataFrame:
+    """docs, all rows and columns kept, with the secrets in text replaced by <SECRET>; n_chars, if there, follows.
+
+    Each row is cleaned by its own text, so repeated rows stay alike; null and empty texts stay as they are. words as
+    in ``find_secrets``.
+    """
+    guesser = Guesser(dictionary(docs) if words is None else words)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch["text"].to_pylist()
-            found = [spans_of(t) if t else [] for t in texts]
+            found = [spans_of(t, guesser) if t else [] for t in texts]
             if not any(found):
                 yield batch
                 continue

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
 import re
+import time
 
 import pytest
 
@@ -47,8 +49,90 @@ def test_guess_costs():
         assert one <= (len(a) + len(b)) * 1.98 + 1e-9
 
 
-def test_long_values_take_linear_time():
-    assert secrets.guess_cost("aZ9" * 20_000 + "q") > 0
+VOWELS = "aeiouyáéíóúàèùâêôäöüåæø"
+
+
+def plain_spans(value, ranks):
+    """The cost of every span of the value, by the kinds' definitions."""
+    low, out = value.lower(), {}
+    one = math.log10(sum(n for p, n in (("[0-9]", 10), ("[a-z]", 26), ("[A-Z]", 26), ("[^0-9A-Za-z]", 33)) if re.search(p, value)))
+    if set(low) <= set("0123456789abcdef") and set(low) & set("abcdef") and set(low) & set("0123456789"):
+        one = math.log10(16)
+    capitals = lambda s: 0 if s == s.lower() else math.log10(2) * (1 if s in (s.upper(), s.capitalize()) else len(s))
+    rows = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz"]
+    for i in range(len(value)):
+        for j in range(i + 1, len(value) + 1):
+            s, t, costs = value[i:j], low[i:j], []
+            if j - i == 1:
+                costs.append(one)
+            for spelt, more in ((t, 0), (t.translate(str.maketrans("013457@$!", "oieastasi")), 0.5)):
+                if spelt in ranks and j - i > 1:
+                    costs.append(math.log10(ranks[spelt] + 2) + more + capitals(s))
+                    break
+            y, m, d = r"(19|20)\d\d", "(0[1-9]|1[0-2])", r"(0[1-9]|[12]\d|3[01])"
+            if re.fullmatch(y, s):
+                costs.append(math.log10(120))
+            if re.fullmatch(f"{y}[-./]?{m}[-./]?{d}|{d}[-./]?{m}[-./]?{y}", s):
+                costs.append(math.log10(365 * 120))
+            if 3 <= j - i <= 16 and s.isalpha() and s in (s.lower(), s.upper(), s.capitalize()) and not re.search(f"[{VOWELS}]{{4}}|[^{VOWELS}]{{5}}", t):
+                costs.append(min(6.0, (j - i) * math.log10(26)) + capitals(s))
+            for u in range(1, 5):
+                if (j - i) % u == 0 and (j - i) // u >= 3 and t == t[:u] * ((j - i) // u):
+                    costs.append(u * one + math.log10((j - i) // u))
+            if j - i >= 3 and all(any(p in row or p[::-1] in row for row in rows) for p in (t[k : k + 2] for k in range(j - i - 1))):
+                costs.append(math.log10(47 * (j - i)) + capitals(s))
+            if costs:
+                out[i, j] = min(costs)
+    return out
+
+
+def cheapest(value, spans, at=0):
+    """The least cost over all segmentations, each looked at."""
+    return 0.0 if at == len(value) else min((spans[at, j] + cheapest(value, spans, j) for j in range(at + 1, len(value) + 1) if (at, j) in spans))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_costs_are_the_least_of_all_segmentations(seed):
+    r = random.Random(seed)
+    words = ["sun", "tree", "sol", "été", "password"]
+    guesser = secrets.Guesser(words)
+    ranks = {w: i for i, w in reversed(list(enumerate([*secrets.WORDS, *[w for w in words if w not in secrets.WORDS]])))}
+    parts = ["a", "b", "ab", "Sun", "tree", "s0l", "P4ss", "pass", "qwe", "RTY", "fds", "19", "1999", "12", "-", "31", ".", "aaa", "xyx", "0", "7", "é", "Q", "ww", "deadbeef", "!"]
+    for _ in range(60):
+        value = "".join(r.choice(parts) for _ in range(r.randint(1, 6)))[:10]
+        assert guesser.cost(value) == pytest.approx(cheapest(value, plain_spans(value, ranks))), value
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "aZ9", "1999", "qwert", "sun"])
+def test_enough_is_told_apart_and_long_values_take_linear_time(unit):
+    guesser = secrets.Guesser(["sun"])
+    for n in range(1, 40):
+        value = unit * n + "q"
+        assert (guesser.cost(value, secrets.LEAST_COST) >= secrets.LEAST_COST) == (guesser.cost(value) >= secrets.LEAST_COST)
+    began = time.perf_counter()
+    guesser.cost(unit * 40_000 + "q", secrets.LEAST_COST)
+    assert time.perf_counter() - began < 15
+
+
+def test_very_long_values_in_a_text():
+    r = random.Random(1)
+    text = "password: " + "".join(r.choice("abcXYZ0189+/") for _ in range(500_000)) + " end token=" + "z" * 300_000
+    found = secrets.spans_of(text)
+    assert (10, 500_010, "guess") in found and (0, 500_010, "assign") in found
+
+
+def test_dictionary_has_the_most_frequent_words(spark):
+    rows = [(1, "Sun sun moon, tree. été"), (2, "sun a1tree moon ab " + "x" * 17), (None, None), (3, "")]
+    assert secrets.dictionary(fx.documents(spark, rows), 3) == ["sun", "moon", "tree"]
+    assert secrets.dictionary(fx.documents(spark, [])) == []
+
+
+def test_a_value_of_the_texts_common_words_is_cheap(spark):
+    value = "velmartossibrekalin"
+    rows = [(1, f"secret is {value} now"), (2, "velmar tossi brekalin")]
+    assert [x["kind"] for x in secrets.find_secrets(fx.documents(spark, rows[:1]), []).first()["secrets"]] == ["guess"]
+    found = {r["doc_id"]: r["secrets"] for r in secrets.find_secrets(fx.documents(spark, rows)).collect()}
+    assert found == {1: [], 2: []}
 
 
 def test_redaction(spark):
