@@ -1,20 +1,20 @@
-"""License scans: an exact containment join of the lines and word windows of all texts with license templates.
+"""License scans: an exact containment join of the word windows of all texts with license templates.
 
 A block contains a template if at least the share ``containment`` of the template's distinct words are in it.
-Blocks are lines, whatever their length, and for notices that wrap all windows of REACH times as many words as
-the template has, across line ends.
-The words of all templates are put in one global order, rarest in the corpus first. A line that reaches the
-threshold must hold one of a template's first n - ceil(share * n) + 1 words (prefix), must hold enough template
-words at all (length), and from the place where the two orders first meet enough words must be left in both
-(position). Only lines that pass all three are compared. Windows are looked at around the words of the prefix
-only, where enough of the template's words are within reach; as each holds a prefix word, none fails by position.
+Blocks are all windows of REACH times as many words as the template has, across line ends: notices that wrap are
+found, and a long line does not contain a template just because it has its words somewhere.
+The words of all templates are put in one global order, rarest in the corpus first. A window that reaches the
+threshold must hold one of a template's first n - ceil(share * n) + 1 words (prefix), so only stretches around such
+words are looked at; they must hold enough template words at all (length); and the window that slides over a stretch
+counts the distinct words within reach of each other (position) before it is one that contains.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,25 +29,64 @@ CONTAINMENT = 0.95
 REACH = 2
 #: Phrases whose every place counts, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Sentences by which texts state their license, with their labels.
-TEMPLATES = (
-    ("licensed under the apache license version 2 0", "apache"),
-    ("you may not use this file except in compliance with the license", "apache"),
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
-    ("under the terms of the gnu affero general public license", "agpl"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("released under the mit license", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution international license", "cc-by"),
-    ("this work is licensed under a creative commons attribution noncommercial international license", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution sharealike international license", "cc-by-sa"),
-)
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: What texts state their license with, from one sentence to a whole license, with their labels.
+NOTICES = (
+    ("Licensed under the Apache License, Version 2.0", "apache"),
+    ("you may not use this file except in compliance with the License", "apache"),
+    (
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.", "apache",
+    ),
+    ("this work is licensed under the GNU General Public License version 3", "gpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
+    ("under the terms of the GNU Affero General Public License", "agpl"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without "
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", "mit",
+    ),
+    ("released under the MIT License", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+        "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", "bsd",
+    ),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License", "mpl"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+        "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", "isc",
+    ),
+    (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+        "this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must "
+        "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be "
+        "plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.", "zlib",
+    ),
+    ("Boost Software License - Version 1.0", "boost"),
+    ("This is free and unencumbered software released into the public domain", "unlicense"),
+    (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "unlicense",
+    ),
+    ("Eclipse Public License v 2.0", "epl"),
+    ("licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution International License", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution NonCommercial International License", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution ShareAlike International License", "cc-by-sa"),
+    ("has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "cc0"),
+)
+TEMPLATES = tuple((" ".join(_WORD.findall(text.lower())), label) for text, label in NOTICES)
 
 
 class Templates:
@@ -60,24 +99,6 @@ class Templates:
         self.sets = [sorted({self.order[w] for w in text.split()}) for text, _ in templates]
         self.reach = [REACH * len(text.split()) for text, _ in templates]
         self.need = [math.ceil(round(containment * len(s), 9)) for s in self.sets]
-        self.by_prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, s in enumerate(self.sets):
-            for i, w in enumerate(s[: len(s) - self.need[t] + 1]):
-                self.by_prefix[w].append((t, i))
-
-    def search(self, line: set[int]) -> dict[int, float]:
-        """The templates that a line (its template words, by number) contains, with the share it has of each."""
-        ordered, seen, out = sorted(line), set(), {}
-        for j, w in enumerate(ordered):
-            for t, i in self.by_prefix.get(w, ()):
-                if t in seen or len(ordered) < self.need[t]:
-                    continue
-                seen.add(t)  # the first word in common: what comes before it, in either, is not shared
-                if min(len(self.sets[t]) - i, len(ordered) - j) >= self.need[t]:
-                    common = len(line.intersection(self.sets[t]))
-                    if common >= self.need[t]:
-                        out[t] = common / len(self.sets[t])
-        return out
 
 
 def most_shared(places: list[int], words: list[int], reach: int) -> int:
@@ -164,17 +185,15 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
     docs needs doc_id and text; other columns are ignored. Per row: doc_id, n_words, n_base (places of PHRASES,
     overlapping ones too), first_word and last_word (the smallest and largest of their starts, null without
     one), base_labels, labels (theirs and the templates'; distinct, sorted, comma-joined, else empty), score
-    (the largest containment found, 1 with a phrase, 0 with nothing) and lines (distinct, in order, that contain
-    a template; then the runs of lines that only together do, for one that wraps). A null text has no words.
-    Null and repeated ids give a row each; an empty table gives no rows. Lines are cut at \\n.
+    (the largest containment found, 1 with a phrase, 0 with nothing) and lines (the runs of lines that contain a
+    template, distinct, by template and place). A null text has no words. Null and repeated ids give a row each; very
+    long texts and lines are taken whole; an empty table gives no rows. Lines are cut at \\n.
     """
     words = vocabulary(templates)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = Templates(templates, word_counts(docs, words), containment)
     numbers, place = Vocabulary(words), {w: i for i, w in enumerate(words)}
     rank = np.array([wanted.order.get(w, -1) for w in words] + [-1])
-    rare = np.zeros(len(words) + 1, bool)
-    rare[[i for w, i in place.items() if wanted.order.get(w) in wanted.by_prefix]] = True
     prefix, member = np.zeros((2, len(templates), len(words) + 1), bool)  # the last column is for other words, number -1
     for t, ranks in enumerate(wanted.sets):
         member[t] = np.isin(rank, ranks)
@@ -199,22 +218,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
                     base[d][label] += 1
                     first[d], last[d] = min(first.get(d, at), at), max(last.get(d, at), at)
             best, labels, lines = [0.0] * batch.num_rows, [set(c) for c in base], [{} for _ in base]
-            whole = defaultdict(set)  # lines that contain a template, by template
             breaks = np.flatnonzero(text.data == 10)
             lo = np.sort(np.concatenate([text.offsets[:-1], breaks + 1]))  # every text and every line starts one
-            here = np.searchsorted(lo, text.starts[rare[number]], "right") - 1
-            for line in np.unique(here).tolist():
-                a = int(lo[line])
-                b = int(lo[line + 1]) if line + 1 < len(lo) else len(text.data)
-                w = slice(*np.searchsorted(text.starts, [a, b]))
-                found = wanted.search(set(rank[number[w]].tolist()) - {-1})
-                if found:
-                    d = int(np.searchsorted(text.first, w.start, "right")) - 1
-                    labels[d].update(wanted.labels[t] for t in found)
-                    best[d] = max(best[d], *found.values())
-                    lines[d][raw[a:b].tobytes().decode().strip("\n")] = None
-                    for t in found:
-                        whole[t].add(line)
             near = np.flatnonzero(number >= 0)
             here = np.searchsorted(lo, text.starts[near], "right") - 1
             owner = np.searchsorted(text.first, near, "right") - 1
@@ -233,7 +238,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
                     after = -1
                     for first_place, last_place in shortest(places, ranks, reach, wanted.need[t]):
                         i, j = (int(here[mine[a + bisect_left(places, p)]]) for p in (first_place, last_place))
-                        if i < j and i > after and not any(x in whole[t] for x in range(i, j + 1)):
+                        if i > after:
                             end = int(lo[j + 1]) if j + 1 < len(lo) else len(text.data)
                             lines[d][raw[int(lo[i]) : end].tobytes().decode().strip("\n")] = None
                             after = j
