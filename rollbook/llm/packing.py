@@ -138,13 +138,15 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, kee
     docs needs doc_id and text; other columns are ignored. A text that is longer than a sequence is cut into
     full pieces, the first of which holds the remainder. Per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, and with keep_ids the ids. A null text is empty: one piece, the end id alone. Null and
-    repeated ids are kept, each row packed by itself. An empty table gives no rows.
+    repeated ids are kept, each row packed by itself; very long texts are cut whole. Combinations that fill a bin
+    alike tie to the longer pieces, pieces of one length to the order of tasks and rows. An empty table gives no rows.
     """
     cut = written(pieces(docs, path or default_vocabulary("byte_bpe_50k.json"), capacity, keep_ids), "pieces")
     counts = written(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
     places = Places(plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
     before = counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    ranked = cut.join(before, ["task", "length"]).withColumn("rank", F.col("local") + F.col("before")).drop("task", "local", "before")
+    # Counts grow with the tasks, so they are never broadcast; a task's pieces of a length are bounded by the task.
+    ranked = cut.join(before.hint("merge"), ["task", "length"]).withColumn("rank", F.col("local") + F.col("before")).drop("task", "local", "before")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
