@@ -14,8 +14,10 @@
 4. A group's sets meet in a signature tree: leaves are single sets, a node keeps the union of their token
    bitmaps and the range of their sizes. A dual traversal skips pairs of nodes whose sizes or bitmaps rule out
    enough overlap, and pairs already connected; small nodes that are left meet as a block of bitmaps, and the
-   pairs that this leaves are compared in full. A group too large for one task is cut into chunks, and every
-   pair of its chunks is a task of its own.
+   pairs that this leaves are compared in full. A group too large for one task is cut into chunks, each a task.
+   What these connect is spoken for by its least member; the speakers of a group meet next; and what then is
+   still outside of the group's largest component meets all of the group, chunk by chunk. So a group of near
+   copies that holds a third of all texts costs rows in proportion to it, and no pair goes unseen.
 
 A class is named by its row's block and place there (see ``blocks``), so neither null nor repeated ids matter.
 """
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.blocks import Blocks, give_back, in_blocks, shard_bounds
+from rollbook.llm.blocks import PARTITIONS, Blocks, give_back, in_blocks, shard_bounds
 from rollbook.llm.words import Words, mix, pack_sorted, sums, unpack_sorted, window_starts, windows
 from rollbook.operators.entities import components
 from rollbook.sources.shared import forget, written
@@ -42,8 +44,8 @@ SMALL = 8
 SHARD_KEYS = 2_000_000
 #: Shingles that one task of step 4 holds.
 GROUP_SHINGLES = 4 << 20
-#: Sets that one task of step 4 holds of one chunk.
-GROUP_SETS = 8192
+#: Sets of a chunk in step 4.
+GROUP_SETS = 1024
 BITMAP_BITS = 4096
 #: Nodes of at most so many sets are compared as a block, all pairs of bitmaps at once.
 BLOCK_SETS = 32
@@ -187,8 +189,12 @@ class Forest:
 class SignatureTree:
     """A binary tree over sets in an order that puts similar ones side by side."""
 
-    def __init__(self, sets: list[np.ndarray], threshold: Threshold) -> None:
+    def __init__(self, sets: list[np.ndarray], threshold: Threshold, known: list[int] | None = None) -> None:
+        """known: sets with equal numbers there are known to be connected."""
         self.sets, self.threshold, self.forest = sets, threshold, Forest(len(sets))
+        first: dict[int, int] = {}
+        for i, k in enumerate(known or ()):
+            self.forest.join(first.setdefault(k, i), i)
         self.order = sorted(range(len(sets)), key=lambda i: (int(mix(sets[i]).min()), len(sets[i]), i))
         bits = np.zeros((len(sets), BITMAP_BITS // 8), np.uint8)
         slack = []
@@ -314,18 +320,53 @@ def _candidates(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.concatenate([pairs[:, 1], members[some]])), pa.array(np.concatenate([pairs[:, 0], members[least[some]]])), pa.array(np.arange(len(pairs) + len(some)) < len(pairs))], schema=_EDGES)
 
 
+_SET = "name bigint, group bigint, chunks bigint, set binary"
+
+
 def _link_group(table: pa.Table, percent: int) -> pa.Table:
-    """A forest of the links between the sets of a group, or of a pair of its chunks."""
+    """A forest of the links between the sets of a task of step 4. Sets with one root are known to be connected."""
     names = table["name"].to_numpy()
     order = np.argsort(names, kind="stable")
-    blobs = table["set"]
-    forest = SignatureTree([unpack_sorted(blobs[int(i)].as_py()) for i in order], Threshold(percent)).connect()
+    blobs, known = table["set"], table["root"].to_numpy()[order].tolist()
+    forest = SignatureTree([unpack_sorted(blobs[int(i)].as_py()) for i in order], Threshold(percent), known).connect()
     root = np.array([forest.find(i) for i in range(len(names))], np.int64)
     names = names[order]
     give_back()
     return pa.Table.from_arrays([pa.array(names), pa.array(names[root])], names=["a", "b"])
 
 
+def _link(sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among the sets (_SET) of each group, as a forest."""
+
+    def within(tasks: DataFrame, *keys: str) -> DataFrame:
+        return tasks.groupBy("group", *keys).applyInArrow(lambda t: _link_group(t, percent), "a bigint, b bigint").where("a <> b")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return large.drop("root").join(components(links).toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+
+    sets = written(sets.withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks"))).withColumn("root", F.col("name")), "sets")
+    large = sets.where("chunks > 1")
+    links = written(within(sets, "chunk"), "links")
+    if large.isEmpty():
+        return links
+    # What speaks for the components of the chunks. Where even these are many they meet in pairs of chunks.
+    speakers = rooted(links).where("root = name").drop("chunks", "chunk")
+    chunks = speakers.groupBy("group").agg(F.ceil(F.count("*") / GROUP_SETS).alias("chunks"))
+    speakers = speakers.join(chunks, "group").withColumn("mine", F.pmod(F.xxhash64("name", F.lit(1)), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    speakers = speakers.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    links = written(links.union(within(speakers.select("name", "group", "set", "root", "i", "j"), "i", "j")), "links")
+    # All but the largest component of a group meets the whole of it.
+    members = written(rooted(links), "members")
+    largest = members.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("largest"))
+    members = members.join(largest, "group")
+    outside = members.where("root <> largest")
+    parts = outside.groupBy("group").agg(F.ceil(F.count("*") / GROUP_SETS).alias("parts"))
+    outside = outside.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("name", F.lit(2)), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    inside = members.join(parts, "group").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    columns = ["name", "group", "set", "root", "part", "chunk"]
+    return written(links.union(within(outside.select(columns).union(inside.select(columns)).dropDuplicates(["group", "part", "chunk", "name"]), "part", "chunk")), "links")
+
+
 class Linked:
     """The rows of docs in blocks, their classes, and the classes that links connect.
 
@@ -354,7 +395,7 @@ class Linked:
             return _send(block, batch["text"].take(pa.array(at)), at, width, threshold, shards)
 
         sent = self.blocks.meet(heads, send, "shard bigint, block bigint, keys binary, of binary", need=True)
-        edges = written(sent.groupBy("shard").applyInArrow(_candidates, "a bigint, b bigint, small boolean"), "candidates")
+        edges = written(sent.repartition(min(shards, PARTITIONS), "shard").groupBy("shard").applyInArrow(_candidates, "a bigint, b bigint, small boolean"), "candidates")
         passed = self._pass(edges.where("small").select("a", "b").distinct(), self.rows.where("n_shingles > 0").select(name, "n_shingles", "signature"), threshold)
         grouped = components(edges.where("not small").select("a", "b").union(passed)).toDF("name", "group")
         grouped = grouped.union(grouped.select("group", "group").distinct()).toDF("name", "group")
@@ -369,13 +410,9 @@ class Linked:
             blobs = [pack_sorted(sets.hashes[a:b]) for a, b in itertools.pairwise(sets.first.tolist())]
             return pa.table({"name": mine["name"], "group": mine["group"], "chunks": mine["chunks"], "set": pa.array(blobs, pa.binary())})
 
-        sets = self.blocks.meet(wanted, shingle_sets, "name bigint, group bigint, chunks bigint, set binary", need=True)
-        # A set of a group in several chunks goes to every pair of chunks that its own is in; else there is one pair.
-        sets = sets.withColumn("mine", F.pmod(F.xxhash64("name"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        sets = sets.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "name", "set")
-        links = written(sets.groupBy("group", "i", "j").applyInArrow(lambda t: _link_group(t, percent), "a bigint, b bigint").where("a <> b"), "links")
+        links = _link(self.blocks.meet(wanted, shingle_sets, _SET, need=True), percent)
         forget(edges)
-        # A group in several chunks can give a class several links.
+        # A class in several tasks can have several links.
         roots = components(links).toDF("name", "root")
         self.classes = classes.join(roots, "name", "left").select("name", *set_of, "least_id", F.coalesce("root", "name").alias("root"))
 

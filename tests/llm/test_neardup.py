@@ -56,8 +56,10 @@ def test_against_all_pairs(spark, monkeypatch, percent, width, seed):
     assert fx.rows(neardup.join(fx.documents(spark, rows), percent, width)) == plain(rows, percent, width)
 
 
-def test_groups_in_several_chunks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "GROUP_SHINGLES", 300)
+@pytest.mark.parametrize("most", [2, 5])
+def test_groups_in_several_chunks(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "GROUP_SETS", most)
+    monkeypatch.setattr(neardup, "SMALL", 1)
     rows = variants(3)
     assert fx.rows(neardup.join(fx.documents(spark, rows), 80, 4)) == plain(rows, 80, 4)
 
