@@ -134,9 +134,3 @@ def in_blocks(docs: DataFrame, name: str, measure: Measure | None = None, measur
     table = written(docs.mapInArrow(deal, "block bigint, local int, size bigint, blob binary" + (f", {measured}" if measured else "")), name, **{"parquet.block.size": str(32 << 20)})
     found = table.agg(F.count("size").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     return Blocks(table, max(1, found["n"]), found["bytes"])
-
-
-def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's keys start and end among ascending keys."""
-    edges = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.blocks import give_back
+from rollbook.llm.blocks import PARTITIONS, give_back
 from rollbook.llm.words import tally
 from rollbook.sources.shared import written
 
@@ -93,12 +93,12 @@ def tally_pairs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a[at], b[at], np.diff(np.append(at, len(a))), place
 
 
-def _planes(x: np.ndarray, size: int) -> bytes:
+def planes(x: np.ndarray, size: int) -> bytes:
     """Numbers as planes of bytes: the high ones are all but empty, and compress away."""
     return x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
 
 
-def _unplanes(blob: bytes, size: int, n: int) -> np.ndarray:
+def unplanes(blob: bytes, size: int, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8, size * n).reshape(size, n).T).view(f"<u{size}").ravel()
 
 
@@ -106,7 +106,7 @@ def pack(kinds: list[Keys]) -> bytes:
     out = [struct.pack("<B?", len(kinds), kinds[0].high is not None)]
     for k in kinds:
         wide = 8 if len(k.counts) and int(k.counts.max()) >= 1 << 32 else 4
-        out += [struct.pack("<QB", len(k.low), wide), _planes(np.diff(k.low, prepend=np.uint64(0)), 8), _planes(k.counts, wide)]
+        out += [struct.pack("<QB", len(k.low), wide), planes(np.diff(k.low, prepend=np.uint64(0)), 8), planes(k.counts, wide)]
         out += [] if k.high is None else [k.high.astype("<u8").tobytes()]
     return zstandard.compress(b"".join(out), 1)
 
@@ -118,8 +118,8 @@ def unpack(blob: bytes) -> list[Keys]:
     for _ in range(n):
         size, wide = struct.unpack_from("<QB", raw, at)
         view = memoryview(raw)[at + 9 :]
-        low = np.cumsum(_unplanes(view, 8, size), dtype=np.uint64)
-        counts = _unplanes(view[8 * size :], wide, size).astype(np.int64)
+        low = np.cumsum(unplanes(view, 8, size), dtype=np.uint64)
+        counts = unplanes(view[8 * size :], wide, size).astype(np.int64)
         at += 9 + (8 + wide) * size
         high = np.frombuffer(raw, "<u8", size, at) if double else None
         at += 8 * size if double else 0
@@ -130,7 +130,7 @@ def unpack(blob: bytes) -> list[Keys]:
 def _answer(own: np.ndarray, totals: np.ndarray) -> bytes:
     """The totals that differ from a block's own counts, by their place."""
     changed = totals != own
-    return zstandard.compress(struct.pack("<Q", len(own)) + np.packbits(changed).tobytes() + _planes(totals[changed], 8), 1)
+    return zstandard.compress(struct.pack("<Q", len(own)) + np.packbits(changed).tobytes() + planes(totals[changed], 8), 1)
 
 
 def _read(blob: bytes, own: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def _read(blob: bytes, own: np.ndarray) -> np.ndarray:
     bits = -(-n // 8)
     changed = np.unpackbits(np.frombuffer(raw, np.uint8, bits, 8), count=n).astype(bool)
     out = own[:n].copy()
-    out[changed] = _unplanes(memoryview(raw)[8 + bits :], 8, int(changed.sum())).astype(np.int64)
+    out[changed] = unplanes(memoryview(raw)[8 + bits :], 8, int(changed.sum())).astype(np.int64)
     return out
 
 
@@ -188,7 +188,7 @@ def _settle(table: pa.Table, most: int) -> pa.Table:
         places.append(place)
     n = len(asked)
     out = pa.Table.from_arrays([
-        table["shard"], table["block"], pa.array(_replies(asked, totals, places), pa.binary()), pa.array([int(totals[0].sum())] + [0] * (n - 1)), pa.array([int((totals[0] > 0).sum())] + [0] * (n - 1)),
+        table["shard"].cast(pa.int64()), table["block"], pa.array(_replies(asked, totals, places), pa.binary()), pa.array([int(totals[0].sum())] + [0] * (n - 1)), pa.array([int((totals[0] > 0).sum())] + [0] * (n - 1)),
     ], schema=_TOLD)
     give_back()
     return out
@@ -207,6 +207,12 @@ def totals_of(told: pa.Table, kinds: list[Keys]) -> list[np.ndarray]:
     return out
 
 
+def by_shard(sent: DataFrame, shards: int) -> DataFrame:
+    """sent with shard as an int, dealt by it: one shard to a partition while partitions last, else by hash."""
+    sent = sent.withColumn("shard", F.col("shard").cast("int"))
+    return sent.repartitionById(shards, "shard") if shards <= PARTITIONS else sent.repartition(PARTITIONS, "shard")
+
+
 def settle(sent: DataFrame, route: Route, name: str, most: int = 0) -> DataFrame:
     """What the blocks that asked (columns of ASKED) are told (columns of TOLD), written.
 
@@ -214,7 +220,7 @@ def settle(sent: DataFrame, route: Route, name: str, most: int = 0) -> DataFrame
     totals, and how many keys have one.
     """
     if route.groups == 1:
-        return written(sent.groupBy("shard").applyInArrow(lambda t: _settle(t, most), TOLD), name)
+        return written(by_shard(sent, route.shards).groupBy("shard").applyInArrow(lambda t: _settle(t, most), TOLD), name)
     node = (F.col("shard") * route.block_groups + F.pmod(F.xxhash64("block"), F.lit(route.block_groups))).alias("node")
     sent = written(sent.select(node, "shard", "block", "body"), f"{name}-asked")
 

@@ -35,6 +35,9 @@ ADD = 0.1
 ORDER = 3
 #: Bytes of text whose keys a shard holds.
 SHARD_BYTES = 12 << 20
+#: Bits of a pair's or triple's hash within its shard. A shard has a few million at any size of the input, so that
+#: about one n-gram in a hundred million shares its count with another.
+SHARD_BITS = 48
 END = np.uint64(0x5EED0F7E97E9D0C5)
 _ARC = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,10 +46,10 @@ class Grams:
     """Tokens of a block (words and an end for each text), and its distinct n-grams of each order, in order of hash.
 
     keys[k]: the distinct (k + 1)-grams with their training counts in the block; at[k]: the tokens that end one;
-    of[k]: which of the distinct ones each of those ends.
+    of[k]: which of the distinct ones each of those ends. Of the hashes of pairs and triples the first ``bits`` count.
     """
 
-    def __init__(self, text: pa.Array | pa.ChunkedArray, trained: np.ndarray) -> None:
+    def __init__(self, text: pa.Array | pa.ChunkedArray, trained: np.ndarray, bits: int = 64) -> None:
         words = Words(text, fold=True)
         self.n = words.n + 1
         self.first = np.append(0, np.cumsum(self.n))
@@ -63,7 +66,8 @@ class Grams:
                 longer = np.zeros(len(gram), np.uint64)
                 longer[1:] = mix(gram[:-1] * _ARC + self.tokens[1:] + np.uint64(k))
                 gram = longer
-            low, counts, of = tally(gram[at], weight[at])
+            cut = np.uint64(64 - bits if k else 0)
+            low, counts, of = tally(gram[at] >> cut << cut, weight[at])
             self.keys.append(Keys(low, counts))
             self.at.append(at)
             self.of.append(of)
@@ -154,15 +158,15 @@ def score(docs: DataFrame, trained: str, route: Route | None = None) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr(trained), F.lit(False)).alias("trained"))
     blocks = in_blocks(docs, "lm")
     route = route or Route.between(blocks.n, max(1, -(-blocks.n_bytes // SHARD_BYTES)))
-    edges = route.first
-    sent = blocks.map(lambda block, batch: ask(block, Grams(batch["text"], batch["trained"].to_numpy(zero_copy_only=False)).keys, edges), ASKED)
+    edges, bits = route.first, min(64, SHARD_BITS + route.shards.bit_length())
+    sent = blocks.map(lambda block, batch: ask(block, Grams(batch["text"], batch["trained"].to_numpy(zero_copy_only=False), bits).keys, edges), ASKED)
     told = settle(sent, route, "counts")
     n = told.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("positive"), F.lit(0)).alias("vocabulary")).first()
     tokens, vocabulary = n["tokens"], n["vocabulary"]
 
     def read(block: int, batch: pa.RecordBatch, replies: pa.Table) -> pa.Table:
         is_trained = batch["trained"].to_numpy(zero_copy_only=False)
-        grams = Grams(batch["text"], is_trained)
+        grams = Grams(batch["text"], is_trained, bits)
         automaton = BackoffAutomaton(grams, totals_of(replies, grams.keys), tokens, vocabulary)
         base = automaton.arc[0][grams.of[0]]
         return pa.Table.from_arrays([

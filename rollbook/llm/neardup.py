@@ -30,10 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.blocks import PARTITIONS, Blocks, give_back, in_blocks, shard_bounds
+from rollbook.llm.blocks import Blocks, give_back, in_blocks
+from rollbook.llm.exchange import Route, by_shard, planes, unplanes
 from rollbook.llm.words import Words, mix, pack_sorted, sums, unpack_sorted, window_starts, windows
 from rollbook.operators.entities import components
 from rollbook.sources.shared import forget, written
@@ -270,17 +272,35 @@ class SignatureTree:
         return self.forest
 
 
-_PARTS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("of", pa.binary())])
+_PARTS = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("names", pa.binary())])
+_PARTS_DDL = "shard bigint, node bigint, keys binary, names binary"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("small", pa.bool_())])
 _PLACE = 20  # bits of a row's place in its block
 
 
-def _send(block: int, texts: pa.Array, locals_: np.ndarray, width: int, threshold: Threshold, shards: int) -> pa.Table:
-    """The parts of a block's sets by shard; locals_ are the places of the texts, which speak for their classes."""
-    keys, of = part_keys(Shingles(texts, width), threshold)
+def _dealt(keys: np.ndarray, names: np.ndarray, edges: np.ndarray, node: int, first: int = 0) -> pa.Table:
+    """Messages of keys and the classes that hold them, by the part of the key space between the edges."""
     order = np.argsort(keys, kind="stable")
-    keys, of = keys[order], locals_[of[order]].astype("<u4")
-    return pa.Table.from_pylist([{"shard": s, "block": block, "keys": pack_sorted(keys[a:b]), "of": of[a:b].tobytes()} for s, (a, b) in enumerate(itertools.pairwise(shard_bounds(keys, shards).tolist())) if a < b], _PARTS)
+    keys, names = keys[order], names[order]
+    cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).tolist()
+    return pa.Table.from_pylist([{"shard": first + s, "node": node, "keys": pack_sorted(keys[a:b]), "names": zstandard.compress(planes(names[a:b], 8), 1)} for s, (a, b) in enumerate(itertools.pairwise(cuts)) if a < b], _PARTS)
+
+
+def _held(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of messages, and the class of each."""
+    keys = [unpack_sorted(x.as_py()) for x in table["keys"]]
+    return np.concatenate(keys), np.concatenate([unplanes(zstandard.decompress(x.as_py()), 8, len(k)).astype(np.int64) for x, k in zip(table["names"], keys, strict=True)])
+
+
+def _over_nodes(sent: DataFrame, route: Route) -> DataFrame:
+    """What blocks sent to groups of shards, merged and sent on to the shards (see ``exchange``)."""
+    node = (F.col("shard") * route.block_groups + F.pmod(F.xxhash64("node"), F.lit(route.block_groups))).alias("node")
+
+    def forward(table: pa.Table) -> pa.Table:
+        first, edges = route.second(table["shard"][0].as_py())
+        return _dealt(*_held(table), edges, table["node"][0].as_py(), first)
+
+    return sent.select("shard", node, "keys", "names").groupBy("node").applyInArrow(forward, _PARTS_DDL)
 
 
 def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -298,8 +318,7 @@ def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _candidates(table: pa.Table) -> pa.Table:
     """Edges of a shard's classes: every pair that agrees in a part of few, and a forest over those that agree in parts of many."""
-    keys = np.concatenate([unpack_sorted(x.as_py()) for x in table["keys"]])
-    names = np.concatenate([np.frombuffer(x.as_py(), "<u4").astype(np.int64) | b.as_py() << _PLACE for x, b in zip(table["of"], table["block"], strict=True)])
+    keys, names = _held(table)
     order = np.argsort(keys, kind="stable")
     keys, names = keys[order], names[order]
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -374,7 +393,7 @@ class Linked:
     high, least_id, root (the least name that links reach). A set without shingles has no class.
     """
 
-    def __init__(self, docs: DataFrame, percent: int, width: int) -> None:
+    def __init__(self, docs: DataFrame, percent: int, width: int, route: Route | None = None) -> None:
         threshold = Threshold(percent)
 
         def measure(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -387,15 +406,18 @@ class Linked:
         set_of = ["n_shingles", "low", "high"]
         classes = written(self.rows.where("n_shingles > 0").select(*set_of, "doc_id", "n_keys", name).groupBy(*set_of).agg(F.min("name").alias("name"), F.min("doc_id").alias("least_id"), F.first("n_keys").alias("n_keys")), "classes")
         total = classes.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first()["n"]
-        shards = max(1, -(-total // SHARD_KEYS))
+        route = route or Route.between(self.blocks.n, max(1, -(-total // SHARD_KEYS)))
+        first_edges = route.first
         heads = classes.select(F.shiftright("name", _PLACE).alias("block"), F.col("name").bitwiseAND((1 << _PLACE) - 1).cast("int").alias("local"))
 
         def send(block: int, batch: pa.RecordBatch, mine: pa.Table) -> pa.Table:
             at = np.sort(mine["local"].to_numpy())
-            return _send(block, batch["text"].take(pa.array(at)), at, width, threshold, shards)
+            keys, of = part_keys(Shingles(batch["text"].take(pa.array(at)), width), threshold)
+            return _dealt(keys, at[of].astype(np.int64) | block << _PLACE, first_edges, block)
 
-        sent = self.blocks.meet(heads, send, "shard bigint, block bigint, keys binary, of binary", need=True)
-        edges = written(sent.repartition(min(shards, PARTITIONS), "shard").groupBy("shard").applyInArrow(_candidates, "a bigint, b bigint, small boolean"), "candidates")
+        sent = self.blocks.meet(heads, send, _PARTS_DDL, need=True)
+        sent = sent if route.groups == 1 else _over_nodes(sent, route)
+        edges = written(by_shard(sent, route.shards).groupBy("shard").applyInArrow(_candidates, "a bigint, b bigint, small boolean"), "candidates")
         passed = self._pass(edges.where("small").select("a", "b").distinct(), self.rows.where("n_shingles > 0").select(name, "n_shingles", "signature"), threshold)
         grouped = components(edges.where("not small").select("a", "b").union(passed)).toDF("name", "group")
         grouped = grouped.union(grouped.select("group", "group").distinct()).toDF("name", "group")
@@ -435,7 +457,7 @@ class Linked:
         return near.mapInArrow(check, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+def join(docs: DataFrame, percent: int = 80, width: int = 5, route: Route | None = None) -> DataFrame:
     """Components of the texts under links of ``percent`` Jaccard similarity of their word shingles.
 
     docs needs doc_id and text; other columns are ignored. Words are runs without ASCII white space, A-Z
@@ -446,7 +468,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     component of its text, null if no row with an id is in it. Very long texts are taken whole. An empty table
     gives no rows.
     """
-    found = Linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, width)
+    found = Linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, width, route)
     least = found.classes.groupBy("root").agg(F.min("least_id").alias("component"))
     classes = found.classes.join(least, "root").select("n_shingles", "low", "high", "component")
     rows = found.rows.select("doc_id", "n_shingles", "low", "high").join(classes, ["n_shingles", "low", "high"], "left")

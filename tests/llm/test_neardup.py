@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from rollbook.llm import neardup
+from rollbook.llm.exchange import Route
 from rollbook.operators.entities import components
 from tests.llm import fixtures as fx
 
@@ -72,6 +73,12 @@ def test_only_parts_of_many(spark, monkeypatch):
         assert fx.rows(neardup.join(fx.documents(spark, rows), 80, 4)) == plain(rows, 80, 4)
 
 
+def test_over_nodes(spark, monkeypatch):
+    monkeypatch.setattr("rollbook.llm.blocks.BLOCK_BYTES", 3000)
+    rows = variants(6)
+    assert fx.rows(neardup.join(fx.documents(spark, rows), 80, 4, Route(6, 3, 2))) == plain(rows, 80, 4)
+
+
 def test_awkward_rows(spark):
     rows = fx.texts()
     assert fx.rows(neardup.join(fx.documents(spark, rows), 85, 4)) == plain(rows, 85, 4)
