@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollbook.functions.text import _text, code, strip_space
+from rollbook.functions.text import _text, any_of, code, compact, strip_space
 
 #: The kinds of identifier by column of a record, best first.
 COLUMN_KINDS = {
@@ -22,17 +22,27 @@ PLAUSIBLE = {
     "tid": r"(?i)^(?:2ISW[A-Z0-9]{4,6}|\d{8}|\d{4}[A-Z]\d{3})$", "mxcode": r"(?i)^MX\d{4,8}$", "merchant_id": r"(?i)^2ISW[A-Z0-9]{11}$", "payable_code": r"(?i)^(?:\d{7}|Default[_-]?Payable[_-]?MX\d+|MX\d+_[A-Z_]+)$",
     "account_number": r"^\d{10}$", "phone": r"^(?:\+?234|0)[789]\d{9}$",
 }
-NUBAN_WEIGHTS = (3, 7, 3, 3, 7, 3, 3, 7, 3, 3, 7, 3)
-#: Road words and the like that mark an address.
-ADDRESS_WORDS = ("ROAD", "RD", "STREET", "ST", "AVENUE", "AVE", "CLOSE", "CRESCENT", "LANE", "DRIVE", "WAY", "JUNCTION", "EXPRESSWAY", "ESTATE", "PLOT", "BLOCK", "PLAZA", "MALL")
+#: Weights of an account number's first nine digits; the tenth is the check digit.
+NUBAN_WEIGHTS = (3, 7, 3, 3, 7, 3, 3, 7, 3)
+#: Words of an address, and places that are known by name.
+ADDRESS_WORDS = (
+    "ROAD", "STREET", "AVENUE", "AVE", "BOULEVARD", "BLVD", "PLAZA", "MALL", "ESTATE", "WAY", "DRIVE", "LANE", "CLOSE", "CRESCENT", "BLOCK", "PLOT", "BUILDING", "JUNCTION", "GARDEN", "CENTER", "CENTRE", "PHASE",
+    "EXPRESSWAY", "BYPASS", "VILLAGE", "QUARTERS", "GATE", "TERMINAL", "AIRPORT", "HOUSE", "SUITE", "FLOOR", "CIRCLE", "PARK", "GARDENS", "SQUARE", "VI", "GRA", "STATE",
+)
+LOCALITIES = (
+    "ABUJA", "IKEJA", "LEKKI", "IKORODU", "SURULERE", "SANGOTEDO", "IKOYI", "YABA", "MARYLAND", "FESTAC", "AJAH", "OTA", "ONIRU", "ILUPEJU", "MAGODO", "ALIMOSHO", "EGBEDA", "AMUWO", "PALMGROOVE", "GBAGADA", "ILORIN", "KANO",
+    "KADUNA", "HARCOURT", "ENUGU", "OWERRI", "JOS", "CALABAR", "UYO", "WARRI", "ASABA", "ONITSHA", "AWKA", "OSOGBO", "AKURE", "IBADAN", "ABEOKUTA", "BENIN", "UMUAHIA", "EFFURUN", "BARNAWA", "MAITAMA", "WUSE", "GWARINPA",
+    "DUTSE", "UTAKO", "LUGBE", "IKOTA", "IKATE", "ELEGUSHI", "AJAO", "OGUDU", "CHEVRON", "AKOWONJO", "BARIGA", "AGUNGI", "FCT", "VICTORIA", "ISLAND", "TOWN", "BEACH", "LAGOS",
+)
+#: Beginnings that make a value a code.
+CODE_PREFIXES = ("MX", "TID", "MID", "2ISW", "PTSP", "BVN", "PAY", "ACC")
 
 
-def valid_account(account: Column | str, bank: Column | str) -> Column:
-    """Whether the last of an account's ten digits is the check digit for the three-digit bank code before it."""
-    digits = F.concat(_text(bank), _text(account))
-    value = lambda i: F.substring(digits, i, 1).cast("int")
-    total = sum((value(i + 1) * w for i, w in enumerate(NUBAN_WEIGHTS)), F.lit(0))
-    return F.when(digits.rlike(r"^\d{13}$"), value(13) == (10 - total % 10) % 10).otherwise(False)
+def valid_account(account: Column | str) -> Column:
+    """Whether the value has ten digits, other characters aside, of which the last is the check digit of the nine before."""
+    digits = F.regexp_replace(_text(account), r"\D", "")
+    total = sum((F.substring(digits, i + 1, 1).cast("int") * w for i, w in enumerate(NUBAN_WEIGHTS)), F.lit(0))
+    return F.when(F.length(digits) == 10, F.substring(digits, 10, 1).cast("int") == (10 - total % 10) % 10).otherwise(False)
 
 
 def valid_bvn(c: Column | str) -> Column:
@@ -69,9 +79,26 @@ def shape_kinds(c: Column | str) -> Column:
 
 
 def code_like_name(c: Column | str) -> Column:
-    """A name that is a number, or digits with hardly a vowel."""
+    """A name that is none: two characters or fewer, a number, or up to ten capitals and digits that start with a digit or, five or more, have no vowel."""
     value = strip_space(c)
-    return value.rlike(r"^\d+(\.\d+)?$") | (value.rlike(r"\d") & (F.regexp_count(F.upper(value), F.lit("[AEIOU]")) <= 1) & ~value.contains(" "))
+    n, short = F.length(value), value.rlike("^[0-9A-Z]{1,10}$")
+    return (n > 0) & ((n <= 2) | value.rlike(r"^[\d.]+$") | (short & (value.rlike(r"^\d") | ((n >= 5) & ~value.rlike("[AEIOU]")))))
+
+
+def looks_like_code(c: Column | str) -> Column:
+    """A query for a code, not a name: a code's beginning, or five or more characters with a digit among them (others than letters and digits aside)."""
+    value = compact(c)
+    return (F.length(value) >= 3) & (any_of([value.startswith(p) for p in CODE_PREFIXES]) | ((F.length(value) >= 5) & value.rlike(r"\d")))
+
+
+def plausible_part(field: str, c: Column | str) -> Column:
+    """Whether a value may match a field's in part: accounts and BVNs must be valid, codes long enough."""
+    if field in ("account_number", "static_acc_no"):
+        return valid_account(c)
+    if field == "bvn":
+        return valid_bvn(c)
+    value = strip_space(c)
+    return plausible_tid(c) if field == "tid" else F.length(value) >= (6 if field in ("merchant_id", "mxcode", "payable_code") else 1)
 
 
 def real_name(c: Column | str) -> Column:
@@ -79,30 +106,40 @@ def real_name(c: Column | str) -> Column:
 
 
 def address_like(c: Column | str) -> Column:
-    """A number and a road word, or two road words."""
+    """A road word and a place, two road words, or two places."""
     parts = F.split(F.regexp_replace(F.upper(_text(c)), "[^A-Z0-9]+", " "), " ")
-    roads = F.size(F.array_intersect(parts, F.array(*map(F.lit, ADDRESS_WORDS))))
-    return (roads >= 2) | ((roads >= 1) & _text(c).rlike(r"\d"))
+    roads, places = (F.size(F.array_intersect(parts, F.array(*map(F.lit, words)))) for words in (ADDRESS_WORDS, LOCALITIES))
+    return (roads >= 2) | ((roads >= 1) & (places >= 1)) | (places >= 2)
+
+
+def _stars(n: Column) -> Column:
+    return F.repeat(F.lit("*"), F.greatest(n, F.lit(0)))
 
 
 def mask(c: Column | str) -> Column:
-    """The first three and the last two characters, stars between; all stars up to five. Null stays null."""
-    c = F.col(c) if isinstance(c, str) else c
+    """The first three and the last two characters, stars between; up to five only the first. Without a value, empty."""
+    c = strip_space(c)
     n = F.length(c)
-    return F.when(n <= 5, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.substring(c, 1, 3), F.repeat(F.lit("*"), n - 5), F.right(c, F.lit(2))))
+    return F.when(n == 0, "").when(n <= 5, F.concat(F.substring(c, 1, 1), _stars(F.greatest(n - 1, F.lit(1))))).otherwise(F.concat(F.substring(c, 1, 3), _stars(n - 5), F.right(c, F.lit(2))))
 
 
 def mask_field(field: str, c: Column | str) -> Column:
-    """By kind: phones and accounts keep four digits at the end, e-mail the first letter and the domain, names the initials, else ``mask``."""
-    c = F.col(c) if isinstance(c, str) else c
-    n = F.length(c)
-    if field in ("phone", "account_number", "bvn", "static_acc_no"):
-        return F.when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.repeat(F.lit("*"), n - 4), F.right(c, F.lit(4))))
-    if field == "email":
-        return F.when(c.contains("@"), F.concat(F.substring(c, 1, 1), F.lit("***@"), F.element_at(F.split(c, "@"), -1))).otherwise(F.when(c.isNotNull(), F.lit("***")))
-    if field in ("contact_name", "account_name"):
-        return F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.substring(w, 1, 1), F.lit("***"))), " ")
-    return mask(c)
+    """By kind: BVNs, accounts and phones (these with their first two) keep the last four; e-mails two letters and the domain; others two or one at either end."""
+    c = strip_space(c)
+    n, tail = F.length(c), F.right(c, F.lit(4))
+    out = F.when(n > 6, F.concat(F.substring(c, 1, 2), _stars(n - 4), F.right(c, F.lit(2)))).when(n > 2, F.concat(F.substring(c, 1, 1), _stars(n - 2), F.right(c, F.lit(1)))).otherwise("*")
+    if field == "bvn":
+        out = F.when(n >= 4, F.concat(F.lit("***-***-"), tail)).otherwise(out)
+    elif field in ("account_number", "static_acc_no"):
+        out = F.when(n >= 4, F.concat(_stars(n - 4), tail)).otherwise(out)
+    elif field == "phone":
+        out = F.when(n >= 4, F.concat(F.substring(c, 1, 2), _stars(n - 4), tail)).otherwise(out)
+    elif field == "email":
+        local = F.substring_index(c, "@", 1)
+        domain = F.substr(c, F.length(local) + 1)
+        shown = F.when(F.length(local) >= 2, F.concat(F.substring(local, 1, 2), _stars(F.length(local) - 2))).otherwise(_stars(F.length(local)))
+        out = F.when(c.contains("@"), F.concat(shown, domain)).otherwise(out)
+    return F.when(n == 0, "").otherwise(out)
 
 
 def date_key(c: Column | str) -> Column:

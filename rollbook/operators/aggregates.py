@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import _text, bucket_key, code, lookalike_key, name_key, tokens
@@ -106,7 +106,12 @@ def first_last(df: DataFrame, key: str, order: Sequence[str], column: str) -> Da
 
 
 def winner(df: DataFrame, key: str, name: str, score: str) -> DataFrame:
-    """Per key the best name, its score, the runner-up and the margin; ties go to the lesser name."""
-    order = Window.partitionBy(key).orderBy(F.desc(score), name)
-    ranked = df.withColumn("_rank", F.row_number().over(order)).withColumn("_next", F.lead(name).over(order)).withColumn("_score", F.lead(score).over(order))
-    return ranked.where("_rank = 1").select(key, F.col(name).alias("winner"), F.col(score).alias("score"), F.col("_next").alias("runner_up"), (F.col(score) - F.coalesce("_score", F.lit(0.0))).alias("margin"))
+    """Per key the best name, its score, the runner-up and the margin; ties go to the lesser name.
+
+    Two combining aggregates, one for the best and one for the best of the rest: no key's rows are sorted in one task.
+    """
+    rank = F.struct((-F.col(score)).alias("s"), F.col(name).alias("n"))
+    best = df.groupBy(key).agg(F.min(rank).alias("_best"))
+    rest = df.join(best, key).where(F.col(name) != F.col("_best.n")).groupBy(key).agg(F.min(rank).alias("_next"))
+    margin = -F.col("_best.s") - F.coalesce(-F.col("_next.s"), F.lit(0.0))
+    return best.join(rest, key, "left").select(key, F.col("_best.n").alias("winner"), (-F.col("_best.s")).alias("score"), F.col("_next.n").alias("runner_up"), margin.alias("margin"))

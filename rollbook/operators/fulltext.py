@@ -116,6 +116,26 @@ def bm25(index: DataFrame, query: Sequence[str], limit: int) -> DataFrame:
     return scored.groupBy("id").agg(F.sum(weight).alias("score"), F.count("*").alias("_n")).where(F.col("_n") == len(terms)).drop("_n").orderBy(F.desc("score"), "id").limit(limit)
 
 
+def ranked(df: DataFrame, id: str, columns: Sequence[str], query: Sequence[str], limit: int) -> DataFrame:
+    """(id, score) as bm25 of the postings of unstemmed terms gives them, without making all postings.
+
+    Each record counts the query's few terms in its own row; only counts are aggregated over all records."""
+    terms = sorted(set(query))
+    words = df.select(F.col(id).alias("id"), terms_of(F.concat_ws(" ", *columns)).alias("_w"))
+    rows = words.select("id", F.size("_w").alias("_n"), F.filter("_w", lambda w: w.isin(*terms)).alias("_h"))
+    count = lambda t: F.size(F.filter("_h", lambda w: w == t))
+    rows = rows.select("id", "_n", F.array(*[count(t) for t in terms]).alias("_tf"))
+    spread = rows.where("_n > 0").agg(F.count("*").alias("records"), F.avg("_n").alias("mean"), *[F.count_if(F.get("_tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))])
+    hits = rows.where(all_of([F.get("_tf", F.lit(i)) > 0 for i in range(len(terms))])).crossJoin(F.broadcast(spread))  # one row
+
+    def weight(i: int) -> Column:
+        tf, found = F.get("_tf", F.lit(i)), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("records") - found + 0.5) / (found + 0.5))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.col("mean")))
+
+    return hits.select("id", sum((weight(i) for i in range(len(terms))), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def substring_search(df: DataFrame, columns: Sequence[str], query: str, limit: int, id: str = "id") -> DataFrame:
     """Records in which each of the query's distinctive words (three letters or more; ten at most) is part of a column."""
     words = [w for w in re.findall("[A-Z0-9]+", query.upper()) if len(w) >= 3 and w not in GENERIC_WORDS][:10]

@@ -81,12 +81,14 @@ def resolve(df: DataFrame, wanted: DataFrame, columns: Sequence[str], spec: Spec
     without a match are kept, with nulls. Adds matched_field and is_exact.
     """
     wanted = wanted.select(F.col("value")).distinct().withColumn("_code", code("value")).withColumn("_key", lookalike_key("value"))
-    cells = long_form(df, columns, spec).withColumn("_key", lookalike_key("value")).withColumnsRenamed({"value": "_cell", "field": "matched_field"})
-    hits = cells.join(wanted.where("_code <> ''"), "_key").withColumn("is_exact", F.col("_cell") == F.col("_code"))
-    best = first_by(hits, ["value"], [~F.col("is_exact"), "id", "matched_field"], ["id", "matched_field", "is_exact"])
     rest = [c for c in keep if c != spec.id]
-    records = df.select(F.col(spec.id).alias("id"), *rest)
-    return wanted.select("value").join(best, "value", "left").join(records, "id", "left").select("value", *dict.fromkeys(["id", *rest]), "matched_field", "is_exact")
+    held = F.filter(F.array(*[F.struct(F.lit(c).alias("matched_field"), code(c).alias("_cell")) for c in columns]), lambda x: x["_cell"] != "")
+    # Only records that hold a wanted key are kept, and they carry what is shown of them: no second join for it.
+    cells = df.select(F.col(spec.id).alias("id"), *[F.col(c).alias(f"_keep_{c}") for c in rest], F.inline(held)).withColumn("_key", lookalike_key("_cell"))
+    hits = cells.join(wanted.where("_code <> ''"), "_key").withColumn("is_exact", F.col("_cell") == F.col("_code"))
+    best = first_by(hits, ["value"], [~F.col("is_exact"), "id", "matched_field"], ["id", *[f"_keep_{c}" for c in rest], "matched_field", "is_exact"])
+    shown = best.withColumnsRenamed({f"_keep_{c}": c for c in rest})
+    return wanted.select("value").join(shown, "value", "left").select("value", *dict.fromkeys(["id", *rest]), "matched_field", "is_exact")
 
 
 def linked(df: DataFrame, seeds: DataFrame, columns: Sequence[str], spec: Spec = SPEC) -> DataFrame:

@@ -119,10 +119,11 @@ def quality_report(spark, d):
     return aggregates.quality_report(records(spark, d), ["email", "account_number"])
 
 
-@query(f"""WITH {_RECORDS}, {_CELLS} SELECT field, value, count(*) AS n, count(DISTINCT upper(merchant_name)) AS names, 1::BIGINT AS spellings
+@query(f"""WITH {_RECORDS}, {_CELLS} SELECT field, value, count(*) AS n, count(DISTINCT upper(merchant_name)) AS names, count(DISTINCT CASE WHEN field = 'email' AND id % 2 = 0 THEN upper(value) WHEN field = 'email' THEN lower(value) ELSE value END) AS spellings
     FROM cells JOIN records USING (id) WHERE field IN ('tid', 'email') GROUP BY ALL""")
 def identity(spark, d):
-    return aggregates.identity(records(spark, d), ["tid", "email"])
+    spelt = records(spark, d).withColumn("email", F.expr("case when id % 2 = 0 then upper(email) else email end"))
+    return aggregates.identity(spelt, ["tid", "email"])
 
 
 @query(f"WITH {_BUCKETS} SELECT bucket_key, count(*) AS n, min(id) AS first_id FROM members GROUP BY bucket_key")
@@ -206,10 +207,12 @@ def related(spark, d):
     return registry.links(records(spark, d), ["tid", "mxcode"])
 
 
-@query(f"""WITH {_RECORDS}, {_CELLS} SELECT translate(value, '01258', 'OIZSB') AS key, array_to_string(list_sort(list(DISTINCT value)), ',') AS spellings, count(DISTINCT value) AS n
-    FROM cells WHERE field = 'tid' GROUP BY key HAVING count(DISTINCT value) > 1""")
+_MISSPELT = "case when o_orderkey % 3 = 0 then replace(replace(tid, '0', 'O'), '1', 'I') when o_orderkey % 3 = 1 then replace(tid, '5', 'S') else tid end"
+
+
+@query(f"""WITH {_RECORDS}, t AS (SELECT DISTINCT {_MISSPELT.replace('o_orderkey', 'id')} AS value FROM records) SELECT translate(value, '01258', 'OIZSB') AS key, string_agg(value, ',' ORDER BY value) AS spellings, count(*) AS n FROM t GROUP BY key HAVING count(*) > 1""")
 def lookalikes(spark, d):
-    return aggregates.lookalikes(records(spark, d), "tid")
+    return aggregates.lookalikes(records(spark, d).withColumn("tid", F.expr(_MISSPELT.replace("o_orderkey", "id"))), "tid")
 
 
 @query(f"""WITH {_TERMS}, p AS (SELECT id, len(words) AS n_terms, unnest(words) AS term FROM terms), i AS (SELECT id, term, any_value(n_terms) AS n_terms, count(*) AS tf FROM p GROUP BY ALL),
@@ -217,9 +220,7 @@ def lookalikes(spark, d):
     h AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM i WHERE term IN ('the', 'of'))
     SELECT id, round(sum(ln(1 + (records - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))), 6) AS score FROM h, t GROUP BY id HAVING count(*) = 2""")
 def ranked_search(spark, d):
-    docs = _table(spark, d, "documents")
-    index = fulltext.postings(docs, "doc_id", ["text"], stemmed=False)
-    return fulltext.bm25(index, ["the", "of"], 1 << 30).withColumn("score", F.round("score", 6))
+    return fulltext.ranked(_table(spark, d, "documents"), "doc_id", ["text"], ["the", "of"], 1 << 30).withColumn("score", F.round("score", 6))
 
 
 @query(None)
@@ -238,22 +239,25 @@ def gram_search(spark, d):
     return fulltext.gram_search(_table(spark, d, "part"), "p_partkey", ["p_name"], "widge")
 
 
-@query(f"""WITH {_RECORDS} SELECT id, repeat('*', length(phone) - 4) || right(phone, 4) AS phone, CASE WHEN contains(email, '@') THEN left(email, 1) || '***@example.com' ELSE '***' END AS email,
-    left(tid, 3) || '***' || right(tid, 2) AS tid FROM records""")
+@query(f"""WITH {_RECORDS} SELECT id, left(phone, 2) || repeat('*', length(phone) - 4) || right(phone, 4) AS phone, CASE WHEN email = '' THEN '' ELSE left(split_part(email, '@', 1), 2) || repeat('*', greatest(length(split_part(email, '@', 1)) - 2, 0)) || '@example.com' END AS email,
+    left(tid, 2) || '****' || right(tid, 2) AS tid, left(tid, 3) || '***' || right(tid, 2) AS value FROM records""")
 def masked(spark, d):
-    return records(spark, d).select("id", *[ids.mask_field(c, c).alias(c) for c in ("phone", "email", "tid")])
+    return records(spark, d).select("id", *[ids.mask_field(c, c).alias(c) for c in ("phone", "email", "tid")], ids.mask("tid").alias("value"))
 
 
-@query(f"""WITH {_RECORDS} SELECT id, CASE WHEN account_number IS NULL THEN false ELSE (list_sum(list_transform(range(1, 13), lambda i: substr(bank_code || account_number, i, 1)::INT * [3, 7, 3][(i - 1) % 3 + 1])) +
-    substr(account_number, 10, 1)::INT) % 10 = 0 END AS valid FROM records""")
+@query(f"""WITH {_RECORDS} SELECT id, CASE WHEN account_number IS NULL THEN false ELSE (list_sum(list_transform(range(1, 10), lambda i: substr(account_number, i, 1)::INT * [3, 7, 3][(i - 1) % 3 + 1])) + substr(account_number, 10, 1)::INT) % 10 = 0 END AS valid FROM records""")
 def account_check(spark, d):
-    return records(spark, d).select("id", ids.valid_account("account_number", "bank_code").alias("valid"))
+    return records(spark, d).select("id", ids.valid_account("account_number").alias("valid"))
+
 
+_SHAPED = "case o_orderkey % 12 when 0 then 'mx' || lpad(cast(o_orderkey as string), 6, '0') when 1 then '2ISW' || lpad(cast(o_orderkey as string), 11, 'A') when 2 then '2ISW' || lpad(cast(o_orderkey % 10000 as string), 4, '0') when 3 then lpad(cast(o_orderkey as string), 8, '0') when 4 then lpad(cast(o_orderkey as string), 12, '0') when 5 then lpad(cast(o_orderkey as string), 11, '2') when 6 then '0803' || lpad(cast(o_orderkey as string), 7, '0') when 7 then lpad(cast(o_orderkey as string), 10, '1') when 8 then lpad(cast(o_orderkey as string), 7, '0') when 9 then lpad(cast(o_orderkey as string), 6, '0') when 10 then 'a' || cast(o_orderkey as string) || '@example.com' else 'plain words ' || cast(o_custkey as string) end"
 
-@query(f"WITH {_RECORDS} SELECT id, 'mxcode' AS mx_kinds, 'tid' AS tid_kinds, CASE WHEN email <> '' THEN 'email' ELSE '' END AS email_kinds FROM records")
+
+@query(f"""SELECT o_orderkey, {_SHAPED} AS value, CASE o_orderkey % 12 WHEN 0 THEN 'mxcode' WHEN 1 THEN 'mid' WHEN 2 THEN 'tid' WHEN 3 THEN 'tid' WHEN 4 THEN 'bvn' WHEN 5 THEN 'bvn,phone' WHEN 6 THEN 'bvn,phone' WHEN 7 THEN 'static,account' WHEN 8 THEN 'payable' WHEN 9 THEN 'alias'
+    WHEN 10 THEN 'email' ELSE '' END AS kinds FROM orders""")
 def classified(spark, d):
-    kinds = lambda c: F.array_join(ids.shape_kinds(c), ",")
-    return records(spark, d).select("id", kinds("mxcode").alias("mx_kinds"), kinds("tid").alias("tid_kinds"), kinds("email").alias("email_kinds"))
+    rows = _table(spark, d, "orders").selectExpr("o_orderkey", f"{_SHAPED} as value")
+    return rows.withColumn("kinds", F.array_join(ids.shape_kinds("value"), ","))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
@@ -315,18 +319,12 @@ def decision_bands(spark, d):
     return learning.bands(_table(spark, d, "events"), "value", F.col("event_type") != "error")
 
 
-@query(f"""WITH {_BANDS}, r AS (SELECT *, round(accepted / n, 6) AS rate FROM b), m AS (SELECT max(band) FILTER (n >= 3 AND rate < 0.7) AS missed, sum(n)::BIGINT AS n_decisions FROM r)
-    SELECT greatest(20, least(90, coalesce((SELECT min(band) FROM r, m WHERE n >= 3 AND (missed IS NULL OR band > missed)), 90))) AS threshold, n_decisions FROM m""")
+@query(f"""WITH {_BANDS}, r AS (SELECT *, round(accepted / n, 6) AS rate FROM b), m AS (SELECT max(band) FILTER (n >= 3 AND rate < 0.7) AS missed, min(band) FILTER (n >= 3) AS low, sum(n)::BIGINT AS n_decisions FROM r)
+    SELECT greatest(20, least(90, CASE WHEN n_decisions < 20 THEN 60 WHEN missed IS NOT NULL THEN missed + 20 ELSE least(60, low) END)) AS threshold, n_decisions FROM m""")
 def ask_threshold(spark, d):
     return learning.threshold(decision_bands(spark, d), target=0.7)
 
 
-@query("""SELECT event_id, b AS rephrased_by FROM (SELECT *, lead(event_id) OVER w AS b, lead(ts) OVER w AS later FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    WHERE event_type = 'error' AND later <= ts + INTERVAL 20 MINUTE""")
-def rephrased(spark, d):
-    return learning.rephrased(_table(spark, d, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error")
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS highest FROM events GROUP BY ALL")
 def telemetry_windows(spark, d):
     return windows.rolling(_table(spark, d, "events"), "ts", "event_type", "value")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from rollbook.plans import catalogue
+from rollbook.plans import answers, catalogue, logs  # noqa: F401  (these register their queries)
 
 
 def plain(v):
