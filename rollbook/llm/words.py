@@ -23,7 +23,7 @@ _FOLD[65:91] += 32
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Bytes of text that a map works on at a time.
-MAP_BYTES = 4 << 20
+MAP_BYTES = 2 << 20
 #: Words beyond this many bytes are hashed one by one.
 LONG_WORD = 96
 
