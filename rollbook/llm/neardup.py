@@ -358,7 +358,8 @@ def _link(sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) among the sets (_SET) of each group, as a forest."""
 
     def within(tasks: DataFrame, *keys: str) -> DataFrame:
-        return tasks.groupBy("group", *keys).applyInArrow(lambda t: _link_group(t, percent), "a bigint, b bigint").where("a <> b")
+        # Dealt by all keys: a join may have left a whole group's tasks in one partition.
+        return tasks.repartition("group", *keys).groupBy("group", *keys).applyInArrow(lambda t: _link_group(t, percent), "a bigint, b bigint").where("a <> b")
 
     def rooted(links: DataFrame) -> DataFrame:
         return large.drop("root").join(components(links).toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.words import Words, slices, tally
+from rollbook.sources.shared import forget, written
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 guesses from which a value counts as a secret.
@@ -131,7 +132,11 @@ def guess_cost(value: str) -> float:
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
-    """The ``most`` most frequent words of all texts: runs of a-z (A-Z lower-cased) and non-ASCII characters of 3 to 16 bytes; ties by word."""
+    """The ``most`` most frequent words of all texts: runs of a-z (A-Z lower-cased) and non-ASCII characters of 3 to 16 bytes; ties by word.
+
+    How many words there are by steps of their count (a few hundred numbers) tells from which count on words matter, so
+    that hardly more than ``most`` are sorted and sent to the driver, however many tasks hold them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -143,8 +148,16 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
             some[place] = at
             yield pa.RecordBatch.from_arrays([pa.array([words.bytes_of(i) for i in some.tolist()], pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = written(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "dictionary")
+    step = F.floor(F.log2("n") * 16)
+    held, cut = 0, 0
+    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        held, cut = held + r["words"], r["step"]
+        if held >= most:
+            break
+    out = [r["word"] for r in counted.where(step >= cut).orderBy(F.desc("n"), "word").limit(most).collect()]
+    forget(counted)
+    return out
 
 
 def spans_of(text: str, guesser: Guesser | None = None) -> list[tuple[int, int, str]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from rollbook.llm.words import Words, hash_ranges, tally
 
 #: Distinct chunks that a worker keeps; beyond them it starts anew.
-KEPT_CHUNKS = 1 << 20
+KEPT_CHUNKS = 1 << 19
 #: White space beyond ASCII. Texts with any are encoded whole: there, cuts depend on more than the ASCII spaces.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
