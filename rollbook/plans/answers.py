@@ -195,7 +195,7 @@ _GUARD = f"""lv AS (SELECT * FROM (SELECT id, merchant_name, {_FAMILY} AS core,
         unnest([{', '.join("lower(trim(email))" if c == "email" else f"upper(trim({c}))" for c in _LINKED)}]) AS v FROM reg) WHERE length(coalesce(v, '')) >= 4 AND CASE field {' '.join(f"WHEN '{c}' THEN {x}" for c, x in _SHAPES.items())} END),
     nm AS (SELECT DISTINCT field, v, upper(trim(merchant_name)) AS name, core FROM lv WHERE trim(merchant_name) <> ''), nn AS (SELECT field, v, count(DISTINCT name) AS names FROM nm GROUP BY ALL),
     tok AS (SELECT field, v, count(*) AS k FROM (SELECT DISTINCT field, v, name, unnest(core) AS t FROM nm) GROUP BY field, v, t), common AS (SELECT field, v, max(k) AS k FROM tok GROUP BY ALL),
-    specific AS (SELECT field, v FROM nn LEFT JOIN common USING (field, v) WHERE names <= 1 OR k = names)"""
+    specific AS (SELECT DISTINCT field, v FROM lv LEFT JOIN nn USING (field, v) LEFT JOIN common USING (field, v) WHERE coalesce(names, 0) <= 1 OR k = names)"""
 
 
 @query(f"""WITH {_REG}, {_GUARD} SELECT DISTINCT field, v AS value FROM specific""")
