@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.functions.identifiers import mask_field
+
+#: Fields that are kept enciphered, and masked for those who may only look.
+SENSITIVE = ("bvn", "account_number", "static_acc_no", "phone", "email", "alias")
 
 def recent(log: DataFrame, limit: int = 100, action: str | None = None, actor: str | None = None) -> DataFrame:
     """The newest entries (ts, id, action, actor), of one action or actor if given."""
@@ -46,3 +50,22 @@ def freshness(current: DataFrame, last_good: DataFrame) -> DataFrame:
     b = last_good.select("path", F.struct("mtime", "size").alias("_then"))
     status = F.when(F.col("_then").isNull(), "new").when(F.col("_now").isNull(), "removed").when(F.col("_now") != F.col("_then"), "changed")
     return a.join(b, "path", "full").select("path", status.alias("status")).where("status is not null")
+
+
+def enciphered(df: DataFrame, key: Column, fields: tuple[str, ...] = SENSITIVE) -> DataFrame:
+    """df with its sensitive fields under AES-GCM in base64; null and empty cells stay. The key (16, 24 or 32 bytes) comes from the caller and is never stored. Equal cells differ afterwards, so they no longer join."""
+    held = [f for f in fields if f in df.columns]
+    return df.withColumns({f: F.when(F.col(f) != "", F.base64(F.aes_encrypt(F.col(f), key, F.lit("GCM")))).otherwise(F.col(f)) for f in held})
+
+
+def deciphered(df: DataFrame, key: Column, fields: tuple[str, ...] = SENSITIVE) -> DataFrame:
+    """What ``enciphered`` was given. A cell under another key or tampered with is null."""
+    held = [f for f in fields if f in df.columns]
+    return df.withColumns({f: F.when(F.col(f) != "", F.try_aes_decrypt(F.unbase64(F.col(f)), key, F.lit("GCM")).cast("string")).otherwise(F.col(f)) for f in held})
+
+
+def seen_by(df: DataFrame, role: str, fields: tuple[str, ...] = SENSITIVE) -> DataFrame:
+    """df as a role sees it: viewers see sensitive fields masked, others all."""
+    if role != "viewer":
+        return df
+    return df.withColumns({f: mask_field(f, F.col(f)) for f in fields if f in df.columns})
