@@ -65,10 +65,28 @@ def timeline(events: DataFrame, key: str, at: str, kind: str, order: str) -> Dat
     return events.groupBy(key).agg(F.count("*").alias("n"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count_distinct(kind).alias("variants"))
 
 
+def before(rows: DataFrame, key: str, at: str, order: str, cell: Column, name: str, stretch: int = 3600) -> DataFrame:
+    """rows with the column ``name``: the last cell that is not null of the key's rows before, in order of time, then ``order``; rows without a time come last.
+
+    A key is cut into stretches of so many seconds, each ordered by itself; what a stretch ends with travels to the
+    next one as a row. So a key with a third of all rows is spread over its stretches, and what meets for a key is a
+    row for each of them. Null keys count as one key.
+    """
+    rows = rows.withColumn("_cell", cell).withColumn("_part", F.coalesce(F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / stretch), F.lit(1 << 62)))
+    near = Window.partitionBy(key, "_part").orderBy(F.col(at).asc_nulls_last(), order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_near", F.last("_cell", ignorenulls=True).over(near))
+    end = F.max_by(F.when(F.col("_cell").isNotNull(), F.col("_cell")), F.when(F.col("_cell").isNotNull(), F.struct(at, order)))
+    ends = rows.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(end.alias("_end"))
+    far = F.last("_end", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.withColumn("_far", far).drop("_end")
+    out = rows.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")), "left")
+    return out.withColumn(name, F.coalesce("_near", "_far")).drop("_cell", "_part", "_near", "_k", "_p", "_far")
+
+
 def changes(events: DataFrame, key: str, at: str, kind: str, order: str) -> DataFrame:
-    """Events whose kind differs from the key's event before: old and new kind, in order of time, then id."""
-    before = F.lag(kind).over(Window.partitionBy(key).orderBy(F.col(at).asc_nulls_last(), order))
-    return events.withColumn("old", before).where(F.col("old") != F.col(kind)).select(key, order, F.col(at), "old", F.col(kind).alias("new"))
+    """Events whose kind differs from the key's event before: old and new kind. An event without a kind neither changes anything nor is changed from."""
+    rows = before(events, key, at, order, F.struct(F.col(kind).alias("kind")), "_old")
+    return rows.withColumn("old", F.col("_old.kind")).where(F.col("old") != F.col(kind)).select(key, order, F.col(at), "old", F.col(kind).alias("new"))
 
 
 def risk(count: Column) -> Column:

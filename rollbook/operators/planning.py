@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.identifiers import shape_kinds
 from rollbook.functions.text import _text
+from rollbook.operators.entities import before
 from rollbook.operators.requests import INSTRUCTIONS, identifier_tokens
 
 #: A step's verb and what it produces, by intent.
@@ -260,18 +261,10 @@ def refers(c: Column | str) -> Column:
 def with_context(requests: DataFrame, session: str, at: str, order: str, entities: str, text: str, stretch: int = 3600) -> DataFrame:
     """requests with ``inherited``: whether entities (an array) were taken over from the session's last request that had any, which those do that have none and refer back.
 
-    A session is cut into stretches of so many seconds: what a stretch ends with is carried over by a row for each of
-    them, so a session that holds a third of all requests is spread over its stretches. Requests without a time come
-    first; without a session they inherit nothing.
+    A session that holds a third of all requests is spread over its stretches (see ``entities.before``). Requests
+    without a time come last; without a session they inherit nothing.
     """
     own = F.when(F.size(F.coalesce(entities, F.array().cast("array<string>"))) > 0, F.col(entities))
-    rows = requests.withColumn("_own", own).withColumn("_part", F.coalesce(F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / stretch), F.lit(-(1 << 62))))
-    before = Window.partitionBy(session, "_part").orderBy(F.col(at).asc_nulls_first(), order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_near", F.last("_own", ignorenulls=True).over(before))
-    ends = rows.where(F.col("_own").isNotNull() & F.col(session).isNotNull()).groupBy(F.col(session).alias("_s"), F.col("_part").alias("_p")).agg(F.max_by("_own", F.struct(F.coalesce(F.col(at).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")), F.col(order))).alias("_end"))
-    stops = rows.where(F.col(session).isNotNull()).select(F.col(session).alias("_s"), F.col("_part").alias("_p")).distinct().join(ends, ["_s", "_p"], "left")
-    carried = stops.withColumn("_far", F.last("_end", ignorenulls=True).over(Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
-    rows = rows.join(carried, (F.col(session) == F.col("_s")) & (F.col("_part") == F.col("_p")), "left")
-    old = F.when(F.col(session).isNotNull(), F.coalesce("_near", "_far"))
-    takes = F.col("_own").isNull() & refers(text) & old.isNotNull()
-    return rows.withColumn("inherited", F.coalesce(takes, F.lit(False))).withColumn(entities, F.when(F.col("inherited"), old).otherwise(F.col(entities))).select(*requests.columns, "inherited")
+    rows = before(requests, session, at, order, F.when(F.col(session).isNotNull(), own), "_old", stretch)
+    takes = own.isNull() & refers(text) & F.col("_old").isNotNull()
+    return rows.withColumn("inherited", F.coalesce(takes, F.lit(False))).withColumn(entities, F.when(F.col("inherited"), F.col("_old")).otherwise(F.col(entities))).select(*requests.columns, "inherited")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions import identifiers as ids
-from rollbook.operators import enrichment, families, governance, learning, reports, requests
+from rollbook.operators import enrichment, entities, families, governance, learning, reports, requests
 
 
 def column(spark, expression, values):
@@ -153,3 +153,13 @@ def test_freshness(spark):
     schema = "path string, mtime bigint, size bigint"
     now, then = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 3)], schema), spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("d", 4, 4)], schema)
     assert sorted(map(tuple, governance.freshness(now, then).collect())) == [("b", "changed"), ("c", "new"), ("d", "removed")]
+
+
+def test_changes_over_stretches(spark):
+    rows = [
+        (1, "a", "2024-01-01 10:00:00", "x"), (2, "a", "2024-01-01 10:00:00", "x"), (3, "a", "2024-01-01 23:00:00", "y"), (4, "a", "2024-01-03 00:00:00", "y"), (5, "a", "2024-01-03 00:00:01", None), (6, "a", "2024-01-09 00:00:00", "z"),
+        (7, "a", None, "w"), (8, "b", "2024-01-01 10:00:00", "q"), (9, None, "2024-01-01 10:00:00", "q"), (10, None, "2024-01-02 10:00:00", "r"), (11, "a", None, "w"), (12, "a", None, "v"),
+    ]
+    df = spark.createDataFrame(rows, "id int, k string, ts string, kind string").withColumn("ts", F.to_timestamp("ts"))
+    got = sorted((r["id"], r["old"], r["new"]) for r in entities.changes(df, "k", "ts", "kind", "id").collect())
+    assert got == [(3, "x", "y"), (7, "z", "w"), (10, "q", "r"), (12, "w", "v")]
