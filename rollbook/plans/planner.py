@@ -118,19 +118,20 @@ def remembered_picks(spark, d):
     return evaluation.preferences(picks)
 
 
+_SYNONYMS = ["anchor", "bolt", "gear", "valve", "widget", "rod", "plate", "spring"]
 _TWO = "lower(string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[2])"
 
 
-@query(f"""WITH ph AS (SELECT DISTINCT p_brand AS intent, {_TWO} AS phrase FROM part), syn AS (SELECT DISTINCT string_split(phrase, ' ')[2] AS synonym FROM ph), w AS (SELECT *, string_split(phrase, ' ')[1] AS a, string_split(phrase, ' ')[2] AS b FROM ph),
+@query(f"""WITH ph AS (SELECT DISTINCT p_brand AS intent, {_TWO} AS phrase FROM part), syn AS (SELECT unnest({_SYNONYMS}) AS synonym), w AS (SELECT *, string_split(phrase, ' ')[1] AS a, string_split(phrase, ' ')[2] AS b FROM ph),
     m AS (SELECT intent, phrase AS source_phrase, a || ' ' || synonym AS phrase, b AS source_word, synonym FROM w, syn WHERE synonym <> b), f AS (SELECT m.* FROM m ANTI JOIN ph USING (intent, phrase)),
     n AS (SELECT *, row_number() OVER (PARTITION BY intent, source_phrase ORDER BY synonym) AS k FROM f WHERE length(phrase) >= 4)
     SELECT sha1(intent || '|' || phrase) AS id, intent, phrase, source_phrase, source_word, synonym, phrase IN (SELECT phrase FROM ph) AS conflict FROM n WHERE k <= 6""")
 def new_wordings(spark, d):
-    """First two words of part names by brand; any second word may stand for another."""
+    """First two words of part names by brand; any of eight words may stand for the second."""
     w = F.split(F.lower("p_name"), " ")
     phrases = _table(spark, d, "part").select(F.col("p_brand").alias("intent"), F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1))).alias("phrase")).distinct()
-    second = phrases.select(F.get(F.split("phrase", " "), F.lit(1)).alias("word")).distinct()
-    return evaluation.wordings(phrases, second.crossJoin(second.select(F.col("word").alias("synonym"))).where("word <> synonym"), phrases)
+    words = phrases.select(F.get(F.split("phrase", " "), F.lit(1)).alias("word")).distinct()
+    return evaluation.wordings(phrases, words.select("word", F.explode(F.array(*map(F.lit, _SYNONYMS))).alias("synonym")).where("word <> synonym"), phrases)
 
 
 @query("SELECT c_custkey, c_name AS alias, lpad(c_custkey::VARCHAR, 10, '0') AS account_number, true AS closed FROM customer")
