@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from rollbook.plans import answers, catalogue, logs, planner  # noqa: F401  (these register their queries)
+from rollbook.plans import answers, catalogue, help, logs, planner  # noqa: F401  (these register their queries)
 
 
 def plain(v):
