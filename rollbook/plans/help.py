@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import GENERIC_WORDS
-from rollbook.operators import encoder, suggestions
+from rollbook.operators import encoder, gates, suggestions
 from rollbook.plans.catalogue import _table, query
 from rollbook.sources import journals
 
@@ -69,3 +69,9 @@ def typed_beginnings(spark, d):
     parts = _table(spark, d, "part")
     found = suggestions.prefix_matches(parts, "p_name", parts.select(F.substring("p_name", 1, 5).alias("typed")), limit=1 << 30)
     return found.where(F.col("key").startswith(F.col("typed"))).select("typed", "key")
+
+
+@query("""SELECT unnest(['filled', 'filled', 'filled', 'sheet']) AS "check", unnest(['c_name', 'c_mktsegment', 'gone', 'AUTO']) AS name, unnest([count(*), count(*), 0, count(*) FILTER (contains(lower(c_mktsegment), 'auto'))]) AS n, unnest([1, 10000000, 1, 1])::BIGINT AS least,
+    unnest([count(*) >= 1, count(*) >= 10000000, false, count(*) FILTER (contains(lower(c_mktsegment), 'auto')) >= 1]) AS ok FROM customer""")
+def build_gates(spark, d):
+    return gates.content(_table(spark, d, "customer").withColumn("sheet_name", F.col("c_mktsegment")), {"c_name": 1, "c_mktsegment": 10_000_000, "gone": 1}, {"AUTO": 1})
