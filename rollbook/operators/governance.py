@@ -23,6 +23,11 @@ def audit_stats(log: DataFrame, now: Column) -> DataFrame:
     return log.groupBy("action").agg(F.count("*").alias("n"), F.count_if(day).alias("last_day"), F.max("ts").alias("newest"))
 
 
+def ledger_stats(runs: DataFrame) -> DataFrame:
+    """(runs, ok, failed, last_run_at, max_rows) of all builds (status, finished_at, row_count)."""
+    return runs.agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"), F.max("finished_at").alias("last_run_at"), F.coalesce(F.max("row_count"), F.lit(0)).cast("bigint").alias("max_rows"))
+
+
 def asset_states(events: DataFrame) -> DataFrame:
     """(asset, version, state, at): where each version of an asset is after its events (asset, version, action, ts).
 

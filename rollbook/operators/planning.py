@@ -66,6 +66,11 @@ REFERENCE = r"(?i)\b(?:the|this|that)\s+above(?:[- ](?:mentioned|named))?\b|\bab
 CLAUSE = r"(?i)\b(?:and|then|also|plus)\b|[,;]"
 SIDES = r"(?i)\b(?:vs\.?|versus|against|compared to|with|and|between)\b"
 
+#: Intents that a request may be asked back about, vague ones among them, and the gap and confidence within which it is.
+OFFERED = ("profile", "static_account", "change_details", "email", "phone", "address", "mxcode")
+VAGUE = ("profile", "change_details")
+GAP, SURE = 4.0, 60
+
 _NONE = "array<struct<minus:double,place:int,intent:string,score:double,matched:array<string>>>"
 
 
@@ -199,6 +204,29 @@ def next_steps(rows: DataFrame, given: Column, most: int = 3) -> DataFrame:
     return out.select(*keep, (F.col("place") + 1).alias("place"), F.col("_s.intent").alias("intent"), F.concat(F.array_join("_held", "\n"), F.lit("\n"), F.col("_s.ask")).alias("prompt"))
 
 
+def options(low: Column, gap: float = GAP, sure: int = SURE) -> Column:
+    """The intents that a request is asked back about, from its ranked ``intents`` and its text in lower case; none if it is plain.
+
+    Asked is where the two best race: no more than ``gap`` apart and the best's confidence (12 to the point, 100 at
+    most) below ``sure``; or where the only one is vague and as unsure. A best intent that is not vague and was matched
+    is plain unless the text speaks of details. The three best race, then come the offers that scored, and with words
+    for accounts the three kinds of account report. Fewer than two options are none.
+    """
+    scored = F.filter("intents", lambda x: x["intent"] != "resolve")
+    names = F.transform(scored, lambda x: x["intent"])
+    top, second = F.get(scored, F.lit(0)), F.get(scored, F.lit(1))
+    vague = top["intent"].isin(*VAGUE)
+    unsure = F.least(F.lit(100), F.floor(top["score"] * 12)) < sure
+    plain = ~vague & ~low.rlike(r"\b(details?|info(?:rmation)?)\b") & (F.size(top["matched"]) > 0)
+    race = (F.size(scored) >= 2) & (top["score"] - second["score"] <= gap) & unsure
+    lone = (F.size(scored) == 1) & vague & unsure
+    offered = F.filter(F.array(*map(F.lit, OFFERED)), lambda i: F.array_contains(names, i))
+    trio = F.when(low.rlike(r"\b(account|acct|bank)\b"), F.array(*map(F.lit, OFFERED[:3]))).otherwise(F.array().cast("array<string>"))
+    every = F.filter(F.array_distinct(F.concat(F.slice(names, 1, 3), offered, trio)), lambda i: i.isin(*OFFERED))
+    asks = F.coalesce((race | lone) & ~plain, F.lit(False)) & (F.size(every) >= 2)
+    return F.when(asks, every).otherwise(F.array().cast("array<string>"))
+
+
 def clauses(c: Column | str) -> Column:
     """A text's clauses: what stands between conjunctions, commas and semicolons."""
     return F.filter(F.transform(F.split(_text(c), CLAUSE), lambda p: F.trim(p)), lambda p: p != "")

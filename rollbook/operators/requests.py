@@ -78,3 +78,30 @@ def without_noise(c: Column | str, triggers: tuple[str, ...], noise: tuple[str,
     for t in triggers:
         asks = asks | F.lower(text).contains(t)
     return F.when((F.size(words) >= 3) & asks & (F.size(kept) > 0), F.array_join(kept, " ")).otherwise(text)
+
+
+#: What may follow a family's name within a longer one, and the shortest name that a typo is forgiven.
+ROOT_ENDS, LEAST_ROOT = (" ", "-", "\u2013", "\u2014", "/", "&"), 5
+
+
+def family_roots(names: DataFrame, roots: DataFrame) -> DataFrame:
+    """(name, root): the families (column root) that names (column name) belong to, the most specific only.
+
+    A name is a root's if it is the root or begins with it before a separator; else if its first word is one edit from
+    a root of one word, both of five letters or more, of several the first in order. Both sides meet by the beginning
+    of three letters for whole roots, and by words with one letter left out for typos, never as all pairs.
+    """
+    n = names.select(F.upper(F.trim(_text("name"))).alias("name")).where("name <> ''").distinct()
+    r = roots.select(F.upper(F.trim(_text("root"))).alias("root")).where("root <> ''").distinct()
+    head = lambda c: F.substr(c, F.lit(1), F.lit(3))
+    after = F.substr("name", F.length("root") + 1, F.lit(1))
+    whole = n.withColumn("_h", head("name")).join(r.withColumn("_h", head("root")), "_h").where(F.startswith("name", F.col("root")) & ((F.col("name") == F.col("root")) | after.isin(*ROOT_ENDS))).select("name", "root")
+    # All whole roots of a name begin it, so the longest is the most specific; shorter ones stay only where no separator ends them within it.
+    longest = whole.groupBy("name").agg(F.max_by("root", F.length("root")).alias("_l"))
+    inside = (F.col("root") != F.col("_l")) & F.startswith("_l", F.col("root")) & F.substr("_l", F.length("root") + 1, F.lit(1)).isin(*ROOT_ENDS)
+    exact = whole.join(longest, "name").where(~inside).select("name", "root")
+    cuts = lambda c: F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1, F.length(c))))))
+    rest = n.join(exact.select("name").distinct(), "name", "left_anti").withColumn("_w", F.substring_index("name", " ", 1)).where(F.length("_w") >= LEAST_ROOT)
+    short = r.where(~F.contains("root", F.lit(" ")) & (F.length("root") >= LEAST_ROOT))
+    near = rest.select("name", "_w", F.explode(cuts("_w")).alias("_c")).join(short.select("root", F.explode(cuts("root")).alias("_c")), "_c").where(F.levenshtein("_w", "root") <= 1)
+    return exact.unionByName(near.groupBy("name").agg(F.min("root").alias("root")))

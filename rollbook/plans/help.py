@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import GENERIC_WORDS
-from rollbook.operators import encoder, gates, suggestions
+from rollbook.operators import encoder, gates, governance, requests, shadow, suggestions
 from rollbook.plans.catalogue import _table, query
 from rollbook.sources import journals
 
@@ -75,3 +75,48 @@ def typed_beginnings(spark, d):
     unnest([count(*) >= 1, count(*) >= 10000000, false, count(*) FILTER (contains(lower(c_mktsegment), 'auto')) >= 1]) AS ok FROM customer""")
 def build_gates(spark, d):
     return gates.content(_table(spark, d, "customer").withColumn("sheet_name", F.col("c_mktsegment")), {"c_name": 1, "c_mktsegment": 10_000_000, "gone": 1}, {"AUTO": 1})
+
+
+_TIER = "SELECT event_id, ts, event_type AS intent, (value * 7)::INT % 101 AS confidence, (user_id * 3 % 50) AS margin, user_id % 5 > 0 AS would_act, CASE WHEN event_id % 10 > 0 THEN event_id % 9 > 0 OR value < 20 END AS correct FROM events"
+
+
+def _tier(spark, d):
+    """Events as decisions, nine of ten reviewed."""
+    rows = _table(spark, d, "events").withColumn("confidence", F.pmod(F.round(F.col("value") * 7).cast("int"), F.lit(101)))
+    rows = rows.selectExpr("event_id as entry_id", "ts", "event_type as intent", "confidence", "cast(user_id * 3 % 50 as double) as margin", "user_id % 5 > 0 as would_act", "value")
+    reviews = rows.where("entry_id % 10 > 0").selectExpr("entry_id", "ts", "entry_id % 9 > 0 or value < 20 as correct", "concat('not ', intent) as actual")
+    return shadow.labelled(rows.drop("value"), reviews)
+
+
+@query(f"""WITH e AS (SELECT *, CASE WHEN confidence < 20 THEN 0 WHEN confidence < 40 THEN 20 WHEN confidence < 60 THEN 40 WHEN confidence < 80 THEN 60 ELSE 80 END AS band FROM ({_TIER}) WHERE correct IS NOT NULL),
+    b AS (SELECT intent, band, CASE WHEN band = 80 THEN 101 ELSE band + 20 END AS top, count(*) AS n, count(*) FILTER (correct) / count(*) AS rate FROM e WHERE would_act GROUP BY ALL), m AS (SELECT intent, max_by(top, band) FILTER (n >= 3 AND rate < 0.8) AS missed, min(band) FILTER (n >= 3) AS low FROM b GROUP BY intent),
+    g AS (SELECT intent, least(90, CASE WHEN missed IS NOT NULL THEN missed ELSE least(65, coalesce(low, 65)) END) AS g FROM m), p AS (SELECT intent, band FROM e WHERE NOT would_act AND correct GROUP BY ALL HAVING count(*) >= 3), f AS (SELECT intent, max(band) AS f FROM p JOIN g USING (intent) WHERE band < g GROUP BY intent)
+    SELECT intent, count(*) FILTER (would_act) AS samples, count(*) FILTER (NOT would_act AND correct) AS would_not_correct, round(count(*) FILTER (would_act AND correct) / count(*) FILTER (would_act), 3) AS precision,
+    CASE WHEN count(*) FILTER (would_act) >= 20 THEN greatest(40, least(any_value(g), coalesce(any_value(f), 90))) END::INT AS gate FROM e LEFT JOIN g USING (intent) LEFT JOIN f USING (intent) GROUP BY intent""")
+def tier_gates(spark, d):
+    return shadow.gates(_tier(spark, d))
+
+
+@query(f"""WITH e AS ({_TIER}), w AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY ts DESC, event_id DESC) AS k FROM e WHERE would_act AND NOT correct)
+    SELECT intent, count(*) AS reviewed, count(*) FILTER (correct) AS correct, round(count(*) FILTER (correct) / count(*), 3) AS precision, (SELECT count(*) FROM w WHERE w.intent = e.intent AND k <= 5)::INT AS shown FROM e WHERE would_act AND correct IS NOT NULL GROUP BY intent""")
+def tier_precision(spark, d):
+    return shadow.precision(_tier(spark, d)).withColumn("shown", F.size("missed_as")).drop("missed_as")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (ts::DATE = DATE '2024-01-02') AS today, count(*) FILTER (would_act) AS would_act, count(*) FILTER (NOT would_act) AS would_not, count(correct) AS reviewed, max(ts) AS last_ts FROM ({_TIER})")
+def tier_health(spark, d):
+    return shadow.health(_tier(spark, d), F.lit("2024-01-02").cast("date"))
+
+
+@query("""SELECT count(*) AS runs, count(*) FILTER (o_orderstatus = 'O') AS ok, count(*) FILTER (o_orderstatus = 'F') AS failed, max(o_orderdate) AS last_run_at, max(o_custkey)::BIGINT AS max_rows FROM orders""")
+def ledger_stats(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "failed").otherwise("running")
+    return governance.ledger_stats(_table(spark, d, "orders").select(status.alias("status"), F.col("o_orderdate").alias("finished_at"), F.col("o_custkey").alias("row_count")))
+
+
+@query("""WITH whole AS (SELECT DISTINCT upper(p_name) AS r FROM part WHERE p_partkey % 50 = 0) SELECT DISTINCT upper(p_name) AS name, CASE WHEN upper(p_name) IN (FROM whole) THEN upper(p_name) ELSE upper(string_split(p_name, ' ')[1]) END AS root FROM part""")
+def family_roots(spark, d):
+    """Part names under their first words, and under some whole names, which are more specific."""
+    parts = _table(spark, d, "part")
+    roots = parts.where("p_partkey % 50 = 0").select(F.col("p_name").alias("root")).unionByName(parts.select(F.substring_index("p_name", " ", 1).alias("root")))
+    return requests.family_roots(parts.select(F.col("p_name").alias("name")), roots)
