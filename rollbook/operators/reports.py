@@ -92,6 +92,16 @@ def static_accounts(df: DataFrame, terminals: DataFrame) -> DataFrame:
     return shown.unionByName(none.select(F.col("value").alias("identifier"), _text("_mx").alias("mxcode"), _text("_merchant").alias("beneficiary"), *empty, F.when(F.col("_known"), "no_static_account").otherwise("not_found").alias("status"))).distinct()
 
 
+def static_of_codes(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """Static accounts of merchant codes (value): identifier, beneficiary, static_acc_no and status; a row for each account, one without any."""
+    asked = codes.select("value", code("value").alias("_c")).where("_c <> ''").distinct()
+    rows = statics(df).select(code("mxcode").alias("_c"), F.col("merchant_name").alias("beneficiary"), "static_acc_no").distinct()
+    known = df.select(code("mxcode").alias("_c")).join(asked.select("_c").distinct(), "_c", "left_semi").distinct().withColumn("_known", F.lit(True))
+    out = asked.join(known, "_c", "left").join(rows, "_c", "left")
+    status = F.when(F.col("static_acc_no").isNotNull(), "found").when(F.col("_known"), "no_static_account").otherwise("not_found")
+    return out.select(F.col("value").alias("identifier"), _text("beneficiary").alias("beneficiary"), _text("static_acc_no").alias("static_acc_no"), status.alias("status"))
+
+
 def by_account(df: DataFrame, accounts: DataFrame) -> DataFrame:
     """Static rows by either account number: value, id and the beneficiary; a row may answer by both, and is there once."""
     rows = statics(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.operators import enrichment, families, reports
+from rollbook.operators import enrichment, execution, families, reports
 from rollbook.plans.catalogue import _table, query
 
 _DAY = "substr(cast(o_orderdate as string), 1, 10)"
@@ -208,3 +208,19 @@ def family_values(spark, d):
     k AS (SELECT DISTINCT field, v FROM ok JOIN seeds USING (id)) SELECT id, min(field || '=' || v) AS reason FROM ok JOIN k USING (field, v) GROUP BY id""")
 def family_members(spark, d):
     return families.family(full(spark, d), families.seeds(full(spark, d), "00004"), signatures=False).select("id", "reason")
+
+
+@query(f"""WITH {_REG}, w AS (SELECT DISTINCT 'MX' || lpad((s_suppkey * 7 % 1000)::VARCHAR, 5, '0') AS value FROM supplier), s AS (SELECT DISTINCT mxcode, merchant_name, static_acc_no FROM reg WHERE static_acc_no <> ''), k AS (SELECT DISTINCT mxcode FROM reg)
+    SELECT value AS identifier, coalesce(trim(merchant_name), '') AS beneficiary, coalesce(static_acc_no, '') AS static_acc_no, CASE WHEN static_acc_no IS NOT NULL THEN 'found' WHEN k.mxcode IS NOT NULL THEN 'no_static_account' ELSE 'not_found' END AS status
+    FROM w LEFT JOIN k ON k.mxcode = value LEFT JOIN s ON s.mxcode = value""")
+def static_of_codes(spark, d):
+    codes = _table(spark, d, "supplier").selectExpr("'MX' || lpad(cast(s_suppkey * 7 % 1000 as string), 5, '0') as value").distinct()
+    return reports.static_of_codes(full(spark, d), codes)
+
+
+@query(f"""WITH {_REG}, {_WANTED}, {_BEST}, f AS (SELECT asked AS identifier, unnest(['fetch_email', 'fetch_phone']) AS step, coalesce(trim(unnest([email, phone])), '') AS answer, id FROM res)
+    SELECT identifier, step, answer, CASE WHEN id IS NULL THEN 'not_found' WHEN answer = '' THEN 'no_value' ELSE 'found' END AS status FROM f""")
+def plan_answers(spark, d):
+    """Two field steps on every identifier asked for, looked up once for both."""
+    inputs = asked(spark, d).select(F.lit(1).alias("request"), F.explode(F.array(F.lit("fetch_email"), F.lit("fetch_phone"), F.lit("rank_top"))).alias("step"), F.lit("tid").alias("kind"), "value", F.lit(False).alias("chained"))
+    return execution.field_answers(full(spark, d), inputs, "request").select("identifier", "step", "answer", "status")
