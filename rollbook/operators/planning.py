@@ -56,8 +56,8 @@ CHAINABLE = {
 }
 #: Wordings of filters on presence and absence, of limits, of references and between two sides.
 PRESENT = {
-    "email": r"\bwith\s+(?:an\s+)?e[- ]?mail\b|\bhas\s+(?:an\s+)?e[- ]?mail\b|\be[- ]?mails?\s+(?:only|present)\b|\bthat\s+have\s+e[- ]?mail\b",
-    "phone": r"\bwith\s+(?:a\s+)?phone\b|\bhas\s+(?:a\s+)?phone\b|\bwith\s+phone\s+number\b", "address": r"\bwith\s+(?:an\s+)?address\b|\bhas\s+(?:an\s+)?address\b",
+    "email": (r"\bwith\s+(?:an\s+)?e[- ]?mail\b", r"\bhas\s+(?:an\s+)?e[- ]?mail\b", r"\be[- ]?mails?\s+(?:only|present)\b", r"\bthat\s+have\s+e[- ]?mail\b"),
+    "phone": (r"\bwith\s+(?:a\s+)?phone\b", r"\bhas\s+(?:a\s+)?phone\b", r"\bwith\s+phone\s+number\b"), "address": (r"\bwith\s+(?:an\s+)?address\b", r"\bhas\s+(?:an\s+)?address\b"),
 }
 ABSENT = {"email": r"e[- ]?mails?", "phone": r"phone numbers?|phones?|telephones?|mobile numbers?", "address": r"addresses|address|locations?"}
 LACKING = r"\b(?:without|with no|has no|have no|missing|lacking|no)\s+(?:an\s+|a\s+)?"
@@ -265,7 +265,7 @@ def parameters(c: Column | str, states: Mapping[str, tuple[str, ...]] | None = N
         state = F.when(low.rlike(rf"\b(?:{_quoted(known)})\b"), name).otherwise(state) if known else state
     some = "|".join(ABSENT.values())
     lacks = F.array(*[F.when(low.rlike(rf"{LACKING}(?:(?:{some})\s+or\s+(?:an\s+|a\s+)?)?(?:{p})\b"), F.lit(f)) for f, p in ABSENT.items()])
-    has = F.array(*[F.when(low.rlike(p), F.lit(f)) for f, p in PRESENT.items()])
+    has = F.array(*[F.when(low.rlike("|".join(p)), F.lit(f)) for f, p in PRESENT.items()])
     first = F.regexp_extract(low, r"\b(?:top|first|last)\s+(\d{1,4})\b", 1)
     second = F.regexp_extract(low, r"\b(\d{1,4})\s+(?:records?|results?|rows?|merchants?|entries)\b", 1)
     limit = F.least(F.when(first != "", first).when(second != "", second).cast("int"), F.lit(MOST_ROWS))
