@@ -7,10 +7,12 @@
    principle the first H + 1 parts of either have one in common, so each set drops its 2c poorest. Parts that hold
    one shingle or none, which unlike texts share by chance, are thus hardly ever kept. The bound is exact.
    Every class sends the hashes of its kept parts to shards; classes that agree in one are candidates.
-3. Where up to SMALL classes agree in a part every pair of them is a candidate, and is first held against the
-   signatures of both (a bitmap of their shingles, two bits a shingle, and the size), which bound the overlap. Only
-   what passes joins a group, so chance meetings do not chain texts together. Where more agree (copies with small
-   changes, a common passage) they are one group without their pairs being listed.
+3. Where up to SMALL classes agree in a part every pair of them is a candidate, and is held against the signatures
+   of both (a bitmap of their shingles, two bits a shingle, and the size), which bound the overlap. Where more agree
+   (copies with small changes, a common passage) they meet as a bucket: from each class its signature is held
+   against those not yet reached, so near copies reach each other in a few steps and no list of pairs is kept.
+   Buckets with the same members are one, and a bucket too large for one task is cut into chunks that meet in
+   pairs. Only what passes joins a group, so neither chance meetings nor a common passage chain texts together.
 4. A group's sets meet in a signature tree: leaves are single sets, a node keeps the union of their token
    bitmaps and the range of their sizes. A dual traversal skips pairs of nodes whose sizes or bitmaps rule out
    enough overlap, and pairs already connected; small nodes that are left meet as a block of bitmaps, and the
@@ -38,10 +40,12 @@ from rollbook.llm.blocks import Blocks, give_back, in_blocks
 from rollbook.llm.exchange import Route, by_shard, planes, unplanes
 from rollbook.llm.words import Words, mix, pack_sorted, sums, unpack_sorted, window_starts, windows
 from rollbook.operators.entities import components
-from rollbook.sources.shared import forget, written
+from rollbook.sources.shared import forget, let_go, written
 
 #: Classes that agree in a part of which every pair is listed.
 SMALL = 8
+#: Classes of a bucket that one task holds against each other, at most twice as many.
+BUCKET_SETS = 1 << 14
 #: Keys of parts that a shard holds.
 SHARD_KEYS = 2_000_000
 #: Shingles that one task of step 4 holds.
@@ -303,21 +307,8 @@ def _over_nodes(sent: DataFrame, route: Route) -> DataFrame:
     return sent.select("shard", node, "keys", "names").groupBy("node").applyInArrow(forward, _PARTS_DDL)
 
 
-def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n places the least that the edges (a, b) connect it with."""
-    least = np.arange(n)
-    while True:
-        low, new = np.minimum(least[a], least[b]), least.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, least):
-            return least
-        least = new
-
-
 def _candidates(table: pa.Table) -> pa.Table:
-    """Edges of a shard's classes: every pair that agrees in a part of few, and a forest over those that agree in parts of many."""
+    """What a shard's classes agree in: every pair (small) that agrees in a part of few, and the members b of each bucket a, of a part of many."""
     keys, names = _held(table)
     order = np.argsort(keys, kind="stable")
     keys, names = keys[order], names[order]
@@ -329,14 +320,71 @@ def _candidates(table: pa.Table) -> pa.Table:
         at = start[n == m]
         pairs += [np.sort(np.stack([names[at + i], names[at + j]], axis=1), axis=1) for i in range(m) for j in range(i + 1, m)]
     pairs = np.unique(np.concatenate(pairs), axis=0)
-    many = np.repeat(n > SMALL, n)
-    members, place = np.unique(names[many], return_inverse=True)
-    size = n[n > SMALL]
-    heads = np.repeat(place[np.append(0, np.cumsum(size))[:-1]], size)
-    least = _least(len(members), place, heads)
-    some = np.flatnonzero(least != np.arange(len(members)))
+    members, size = names[np.repeat(n > SMALL, n)], n[n > SMALL]
+    # A bucket is called by its members, and counts once however many parts they agree in.
+    first = np.append(0, np.cumsum(size))[:-1]
+    bucket = np.add.reduceat(mix(members.astype(np.uint64)), first).view(np.int64) if len(size) else np.zeros(0, np.int64)
+    once = np.zeros(len(size), bool)
+    once[np.unique(bucket, return_index=True)[1]] = True
+    members, bucket = members[np.repeat(once, size)], np.repeat(bucket[once], size[once])
+    give_back()
+    return pa.Table.from_arrays([pa.array(np.concatenate([pairs[:, 1], bucket])), pa.array(np.concatenate([pairs[:, 0], members])), pa.array(np.arange(len(pairs) + len(members)) < len(pairs))], schema=_EDGES)
+
+
+def _reach(names: np.ndarray, sizes: np.ndarray, marks: list[np.ndarray], percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A forest over the classes of a bucket: ends of pairs whose signatures (words of 64 bits) leave enough overlap possible."""
+    words = min(map(len, marks))
+    bits = np.stack([np.bitwise_or.reduce(x.reshape(-1, words), axis=0) for x in marks])
+    slack = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    ends, heads = [], []
+    left, todo = np.arange(len(names)), []
+    while len(left):
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+            rest, n, free = bits[left], sizes[left], slack[left]
+        p = todo.pop()
+        overlap = np.bitwise_count(rest & bits[p]).sum(axis=1, dtype=np.int64) + np.minimum(free, slack[p])
+        near = ((100 + percent) * overlap >= percent * (n + sizes[p])) & (100 * np.minimum(n, sizes[p]) >= percent * np.maximum(n, sizes[p]))
+        if near.any():
+            ends.append(names[left[near]])
+            heads.append(np.full(len(ends[-1]), names[p]))
+            todo += left[near].tolist()
+            left, rest, n, free = left[~near], rest[~near], n[~near], free[~near]
+    return ends, heads
+
+
+def _reached(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The forests (a, b) of buckets (bucket, i, j, name, n_shingles, signature), whose rows follow each other."""
+
+    def settled(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        names, sizes = table["name"].to_numpy(), table["n_shingles"].to_numpy()
+        marks = [np.frombuffer(x.as_buffer(), "<u8") for x in table["signature"]]
+        found = [_reach(names[a:b], sizes[a:b], marks[a:b], percent) for a, b in itertools.pairwise(cuts)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *itertools.chain.from_iterable(f[end] for f in found)])) for end in (0, 1)], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch[c].to_numpy() for c in ("bucket", "i", "j")], axis=1)
+        if not len(keys):
+            continue
+        new = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+        if last is not None and (keys[0] != last).any():
+            new = [0, *new]
+        last = keys[-1]
+        if not new:
+            held.append(batch)
+            continue
+        before = sum(x.num_rows for x in held)
+        whole = pa.Table.from_batches([*held, batch.slice(0, new[-1])])
+        if whole.num_rows:
+            yield settled(whole, sorted({0, *(before + x for x in new)}))
+        held = [batch.slice(new[-1])]
+    if held:
+        whole = pa.Table.from_batches(held)
+        yield settled(whole, [0, whole.num_rows])
     give_back()
-    return pa.Table.from_arrays([pa.array(np.concatenate([pairs[:, 1], members[some]])), pa.array(np.concatenate([pairs[:, 0], members[least[some]]])), pa.array(np.arange(len(pairs) + len(some)) < len(pairs))], schema=_EDGES)
 
 
 _SET = "name bigint, group bigint, chunks bigint, set binary"
@@ -419,9 +467,12 @@ class Linked:
         sent = self.blocks.meet(heads, send, _PARTS_DDL, need=True)
         sent = sent if route.groups == 1 else _over_nodes(sent, route)
         edges = written(by_shard(sent, route.shards).groupBy("shard").applyInArrow(_candidates, "a bigint, b bigint, small boolean"), "candidates")
-        passed = self._pass(edges.where("small").select("a", "b").distinct(), self.rows.where("n_shingles > 0").select(name, "n_shingles", "signature"), threshold)
-        grouped = components(edges.where("not small").select("a", "b").union(passed)).toDF("name", "group")
+        let_go(docs.sparkSession)  # the keys of parts are the largest exchange
+        marks = self.rows.where("n_shingles > 0").select(name, "n_shingles", "signature")
+        passed = self._pass(edges.where("small").select("a", "b").distinct(), marks, threshold)
+        grouped = components(passed.union(self._pass_buckets(edges.where("not small").select(F.col("a").alias("bucket"), F.col("b").alias("name")).distinct(), marks, percent))).toDF("name", "group")
         grouped = grouped.union(grouped.select("group", "group").distinct()).toDF("name", "group")
+        let_go(docs.sparkSession)
         wanted = written(grouped.join(classes.select("name", "n_shingles"), "name"), "wanted")
         sizes = wanted.groupBy("group").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"))
         chunks = F.ceil(F.greatest(F.col("total") / GROUP_SHINGLES, F.col("members") / GROUP_SETS)).alias("chunks")
@@ -439,6 +490,15 @@ class Linked:
         roots = components(links).toDF("name", "root")
         self.classes = classes.join(roots, "name", "left").select("name", *set_of, "least_id", F.coalesce("root", "name").alias("root"))
 
+    @staticmethod
+    def _pass_buckets(met: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+        """A forest (a, b) of the pairs that meet in a bucket (bucket, name) and whose signatures leave enough overlap possible."""
+        chunks = met.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_SETS).alias("chunks"))
+        dealt = met.join(chunks, "bucket").withColumn("mine", F.pmod(F.xxhash64("name"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        tasks = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "name").join(marks, "name")
+        tasks = tasks.select("bucket", "i", "j", "name", "n_shingles", "signature").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        return tasks.mapInArrow(lambda batches: _reached(batches, percent), "a bigint, b bigint")
+
     @staticmethod
     def _pass(pairs: DataFrame, marks: DataFrame, threshold: Threshold) -> DataFrame:
         """The pairs (a, b) whose signatures leave enough overlap possible."""

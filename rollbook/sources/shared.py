@@ -39,3 +39,8 @@ def forget(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files that no plan can read any more: it does so only when the driver collects garbage, which small heaps of large jobs seldom do."""
+    spark._jvm.System.gc()

@@ -108,6 +108,29 @@ def test_chance_meetings_do_not_chain(spark):
     assert found.classes.count() == 400
 
 
+def test_a_common_passage_does_not_chain(spark, monkeypatch):
+    """Unlike texts that share a passage agree in its parts, many at a time; only real near copies may meet as sets."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join([*(word() for _ in range(rng.randrange(60, 80))), passage]) for _ in range(300)]
+    texts += [f"{texts[0]} {word()}" for _ in range(20)]
+    seen, real = [], neardup.written
+
+    def spy(df, name, **options):
+        out = real(df, name, **options)
+        seen.extend([out.count()] if name == "sets" else [])
+        return out
+
+    monkeypatch.setattr(neardup, "written", spy)
+    for most in (neardup.BUCKET_SETS, 7):
+        monkeypatch.setattr(neardup, "BUCKET_SETS", most)
+        found = neardup.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent=80, width=5)
+        component = {r["doc_id"]: r["component_id"] for r in found.collect()}
+        assert component == {i: 0 if i >= 300 else i for i in range(320)}
+    assert seen == [21, 21]
+
+
 def test_signatures_bound_the_overlap():
     r = np.random.default_rng(3)
     for _ in range(200):
