@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import similarity
 from rollbook.functions.identifiers import LOCALITIES
 from rollbook.functions.text import _text, code
 from rollbook.operators.enrichment import CHANGE_KEYS, change_pairs
-from rollbook.operators.registry import filled, long_form, resolve
+from rollbook.operators.registry import filled, first_by, long_form, resolve
+from rollbook.sources.shared import written
 
 #: Columns that an identifier is looked up in.
 RESOLVE = ("tid", "mxcode", "phone", "email", "account_number", "static_acc_no", "payable_code", "bvn", "merchant_id", "alias")
@@ -120,20 +121,34 @@ def terminals_of(df: DataFrame, name: str) -> DataFrame:
 def by_address(df: DataFrame, wanted: DataFrame, most: int = 4) -> DataFrame:
     """Records whose address shares two words or more with a wanted address, and two fifths of all; the ``most`` best of each, one a terminal.
 
-    Places known by name and words of two letters do not count. Joined by words, the rarest of each address first:
-    an address that agrees in so much shares one of the words that are left when two fifths of it are taken off.
+    Places known by name and words of two letters do not count. Records with the same words answer alike, so of each
+    set of words only the first ``most`` terminals can be among the best; wanted addresses with the same known words
+    and as many others are asked once. The sets meet by their rarest words: two that agree in so much share one of
+    those that are left when all but one of the words they must share are taken off, the most frequent first.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(_text(c)), "[^A-Z0-9]+", " "), " "), lambda w: w != ""))
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(_text(c)), "[^A-Z0-9]+", " "), " "), lambda w: w != "")))
+    terminal = F.when(code("tid") != "", code("tid")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
+    held = df.select("id", "tid", "merchant_name", "address", words("address").alias("_a"), terminal.alias("_t")).where(F.size("_a") >= 2)
+    held = first_by(held, ["_a", "_t"], ["id"], ["id", "tid", "merchant_name", "address"])
+    held = written(held.withColumn("_r", F.row_number().over(Window.partitionBy("_a").orderBy("id"))).where(F.col("_r") <= most).drop("_r"), "addresses")
+    sets = held.select("_a").distinct()
+    known = sets.select(F.explode("_a").alias("_w")).groupBy("_w").agg(F.count("*").alias("_n"))
     asked = wanted.select("value", F.filter(words("value"), lambda w: (F.length(w) >= 3) & ~w.isin(*LOCALITIES)).alias("_q")).where(F.size("_q") >= 2).distinct()
-    held = df.select("id", "tid", "merchant_name", "address", words("address").alias("_a"))
-    pairs = asked.select("value", F.explode("_q").alias("_w")).join(held.select("id", F.explode("_a").alias("_w")), "_w").groupBy("value", "id").agg(F.count("*").alias("shared")).where("shared >= 2")
-    pairs = pairs.join(asked, "value").join(held, "id")
-    ratio = F.col("shared") / F.size(F.array_union("_q", "_a"))
-    near = pairs.withColumn("ratio", F.round(ratio, 6)).where(ratio >= 0.4)
-    order = F.struct((-F.col("ratio")).alias("a"), (-F.col("shared")).alias("b"), F.col("id").alias("c"))
-    one = near.groupBy("value", F.when(code("tid") != "", code("tid")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))).alias("_t")).agg(F.min_by(F.struct("id", "tid", "merchant_name", "address", "shared", "ratio"), order).alias("_"), F.min(order).alias("_o"))
-    best = one.groupBy("value").agg(F.slice(F.array_sort(F.collect_list(F.struct("_o", "_"))), 1, most).alias("_l"))
-    return best.select("value", F.inline(F.transform("_l", lambda x: x["_"])))
+    asked = asked.select("value", F.size("_q").alias("_m"), F.explode("_q").alias("_w")).join(known, "_w").groupBy("value", "_m").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_k"))
+    asked = written(asked, "asked")
+    must = lambda n: F.greatest(F.lit(2), F.ceil(n * 2 / 5)).cast("int")
+    rarest = lambda k, n: F.slice(k, 1, F.greatest(F.size(k) - must(n) + 1, F.lit(0)))
+    shapes = asked.select("_m", "_k").distinct()
+    ranked = sets.select("_a", F.explode("_a").alias("_w")).join(known, "_w").groupBy("_a").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_s"))
+    mine = shapes.select("_m", "_k", F.explode(rarest(F.col("_k"), F.col("_m"))["_w"]).alias("_w"))
+    pairs = mine.join(ranked.select("_a", F.explode(rarest(F.col("_s"), F.size("_a"))["_w"]).alias("_w")), "_w").select("_m", "_k", "_a").distinct()
+    shared = F.size(F.array_intersect(F.col("_k")["_w"], F.col("_a"))).cast("bigint")
+    pairs = pairs.withColumn("shared", shared).withColumn("_ratio", F.col("shared") / (F.col("_m") + F.size("_a") - F.col("shared"))).where("shared >= 2 and _ratio >= 0.4")
+    near = pairs.withColumn("ratio", F.round("_ratio", 6)).join(held, "_a")
+    order = [-F.col("ratio"), -F.col("shared"), F.col("id")]
+    one = first_by(near, ["_m", "_k", "_t"], order, ["id", "tid", "merchant_name", "address", "shared", "ratio"])
+    best = one.withColumn("_r", F.row_number().over(Window.partitionBy("_m", "_k").orderBy(*order))).where(F.col("_r") <= most)
+    return asked.join(best, ["_m", "_k"]).select("value", "id", "tid", "merchant_name", "address", "shared", "ratio")
 
 
 def change_details(df: DataFrame, wanted: DataFrame) -> DataFrame:
