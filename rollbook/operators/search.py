@@ -93,16 +93,25 @@ def candidates(df: DataFrame, q: DataFrame) -> DataFrame:
     return by_word.union(by_bucket).distinct()
 
 
+def runs(df: DataFrame, c: str, other: DataFrame, d: str) -> DataFrame:
+    """df with the column _run: the distinct runs of c, c itself aside, that are as long as some value of ``other``'s d."""
+    lengths = other.agg(F.array_sort(F.collect_set(F.length(d))).alias("_lengths"))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n))
+    shorter = F.filter("_lengths", lambda n: n < F.length(c))
+    return df.crossJoin(F.broadcast(lengths)).withColumn("_run", F.explode(F.array_distinct(F.flatten(F.transform(shorter, of))))).drop("_lengths")
+
+
 def _code_hits(df: DataFrame, q: DataFrame) -> DataFrame:
     """(query, id, order, hit, hit_score) of the code fields."""
     have = [c for c in CODES if c in df.columns]
     cells = df.select("id", F.inline(F.filter(F.array(*[F.struct(F.lit(i).alias("order"), F.lit(c).alias("hit"), compact(c).alias("cell")) for i, c in enumerate(have)]), lambda x: x["cell"] != "")))
     wanted = q.select("query", compact("query").alias("_c")).where(F.length("_c") >= 3)
     same = cells.withColumn("_k", lookalike_key("cell")).join(wanted.withColumn("_k", lookalike_key("_c")), "_k").select("query", "id", "order", "hit", F.when(F.col("cell") == F.col("_c"), 100.0).otherwise(98.0).alias("hit_score"))
-    coded = wanted.where(looks_like_code("query")).select("query", "_c", F.size(trigrams(F.col("_c"))).alias("_nq"), F.explode(trigrams(F.col("_c"))).alias("_g"))
-    values = cells.select("hit", "cell").distinct()
-    grams = values.select("hit", "cell", F.size(trigrams(F.col("cell"))).alias("_nv"), F.explode(trigrams(F.col("cell"))).alias("_g"))
-    parts = coded.join(grams, "_g").groupBy("query", "_c", "hit", "cell", "_nq", "_nv").agg(F.count("*").alias("_n")).where("_n = _nq or _n = _nv").where("_c <> cell and (contains(cell, _c) or contains(_c, cell))")
+    coded = wanted.where(looks_like_code("query"))
+    values = cells.select("hit", "cell").where(F.length("cell") >= 3).distinct()
+    has = runs(values, "cell", coded, "_c").join(coded, F.col("_run") == F.col("_c"))
+    within = runs(coded, "_c", values, "cell").join(values, F.col("_run") == F.col("cell"))
+    parts = has.select("query", "_c", "hit", "cell").union(within.select("query", "_c", "hit", "cell"))
     fits = any_of([(F.col("hit") == c) & (plausible_part(c, "_c") | plausible_part(c, "cell")) for c in have])
     part = parts.where(fits).select("query", "hit", "cell").join(cells, ["hit", "cell"]).select("query", "id", "order", "hit", F.lit(90.0).alias("hit_score"))
     return same.unionByName(part)

@@ -39,3 +39,14 @@ def test_common_words_of_addresses(spark, monkeypatch):
         want |= {(v, i, -n, -x) for x, n, i in sorted(best.values())[:4]}
     assert found == want
     assert len(seen["addresses"]) <= 4 * 6  # before, every record met every address that shares a word
+
+
+def test_parts_of_identifiers(spark):
+    """Digits share runs of three without end; a code meets only what it holds or is held by."""
+    rows = [(i, "s", "M", "", f"MX{i:05d}", "", "", "", None) for i in range(300)]
+    queries = [f"AMX{i:05d}B" for i in range(0, 300, 3)] + ["X00007", "MX00008"]
+    df, q = spark.createDataFrame(rows, SCHEMA), search.asked(spark.createDataFrame([(x,) for x in queries], "query string"))
+    found = {(r["query"], r["id"], r["hit_score"]) for r in search.identifier_hits(df, q).collect()}
+    assert found == {(f"AMX{i:05d}B", i, 90.0) for i in range(0, 300, 3)} | {("X00007", 7, 90.0), ("MX00008", 8, 100.0)}
+    values = df.select("mxcode")
+    assert search.runs(values, "mxcode", q, "query").count() == 300 * 2  # runs of six, the only shorter length asked for
