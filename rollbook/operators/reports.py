@@ -165,13 +165,22 @@ def change_details(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def former_names(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """(identifier, variant, source): names on change sheets of the identifier's record, old and new account names there, and names under its code."""
-    changes = change_details(df, wanted)
     sheet = "Change-of-details sheet"
-    from_changes = changes.select("identifier", F.explode(F.array("merchant_name", "old_merchant_account_name", "new_merchant_account_name")).alias("variant"), F.lit(sheet).alias("source"))
-    found = _resolved(df, wanted, ["mxcode"]).where("id is not null").select("value", code("mxcode").alias("_mx")).where("_mx <> ''")
-    siblings = df.select(code("mxcode").alias("_mx"), "merchant_name", "sheet_name").distinct()
-    under = found.join(siblings, "_mx").select(F.col("value").alias("identifier"), F.col("merchant_name").alias("variant"), F.col("sheet_name").alias("source"))
-    return from_changes.unionByName(under).withColumn("variant", F.trim(_text("variant"))).where("variant <> ''").distinct()
+    kinds = ("mxcode", "tid", "merchant_name")
+    handle = F.array(*[F.struct(F.lit(c).alias("kind"), code(c).alias("key")) for c in kinds])
+    pairs = change_pairs("raw_data")
+    old, new = (next(c for c, k in zip(pairs, CHANGE_KEYS, strict=True) if k == f"{x} MERCHANT ACCOUNT NAME") for x in ("OLD", "NEW"))
+    rows = df.where(F.col("sheet_name").contains("Change")).select(handle.alias("_h"), F.explode(F.array(F.col("merchant_name"), old, new)).alias("variant"))
+    named = lambda t: t.withColumn("variant", F.trim(_text("variant"))).where("key <> '' and variant <> ''")
+    changed = named(rows.select(F.inline("_h"), "variant")).select("kind", "key", "variant").distinct()
+    found = written(_resolved(df, wanted, kinds).where("id is not null").select("value", handle.alias("_h")).select("value", code(F.col("_h")[0]["key"]).alias("_mx"), F.inline("_h")).where("key <> ''"), "found")
+    siblings = named(df.select(code("mxcode").alias("key"), F.col("merchant_name").alias("variant"), F.col("sheet_name").alias("source")))
+    # An identifier has one code, and a code's names are distinct before they are dealt out: what is dealt out is so too.
+    by_code = siblings.union(changed.where("kind = 'mxcode'").select("key", "variant", F.lit(sheet).alias("source"))).distinct()
+    under = found.where("kind = 'mxcode'").join(by_code, "key").select(F.col("value").alias("identifier"), "variant", "source")
+    rest = found.where("kind <> 'mxcode'").join(changed, ["kind", "key"]).select("value", "_mx", "variant").distinct()
+    rest = rest.join(by_code.where(F.col("source") == sheet).select(F.col("key").alias("_mx"), "variant"), ["_mx", "variant"], "left_anti")
+    return under.union(rest.select(F.col("value").alias("identifier"), "variant", F.lit(sheet).alias("source")))
 
 
 COMPARED = ("merchant_name", "tid", "mxcode", "phone", "email", "address", "account_name", "account_number", "bank", "state", "sheet_name")

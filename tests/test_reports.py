@@ -50,3 +50,15 @@ def test_parts_of_identifiers(spark):
     assert found == {(f"AMX{i:05d}B", i, 90.0) for i in range(0, 300, 3)} | {("X00007", 7, 90.0), ("MX00008", 8, 100.0)}
     values = df.select("mxcode")
     assert search.runs(values, "mxcode", q, "query").count() == 300 * 2  # runs of six, the only shorter length asked for
+
+
+def test_former_names_are_distinct(spark):
+    sheet = "Change-of-details sheet"
+    new = '{"NEW MERCHANT ACCOUNT NAME": "Fresh", "OLD MERCHANT ACCOUNT NAME": "%s"}'
+    rows = [
+        (1, "a", "One", "t1", "MX1", "", "", "", None), (2, sheet, " One", "t1", "MX1", "", "", "", new % "Older"), (3, "Change b", "Two", "t1", "MX2", "", "", "", new % "Eldest"), (4, "b", "Two", "t9", "MX1", "", "", "", None),
+        (5, "Change b", "One", "t7", "", "", "", "", new % "Other"), (6, "c", "Lone", "t8", "", "", "", "", None),
+    ]
+    found = [tuple(r) for r in reports.former_names(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("t1",), ("t8",), ("zz",)], "value string")).collect()]
+    changed = {("t1", n, sheet) for n in ("One", "Two", "Fresh", "Older", "Eldest", "Other")}
+    assert len(found) == len(set(found)) and set(found) == changed | {("t1", "One", "a"), ("t1", "Two", "b")}
