@@ -15,7 +15,7 @@ from rollbook.functions import similarity
 from rollbook.functions.identifiers import LOCALITIES
 from rollbook.functions.text import _text, code
 from rollbook.operators.enrichment import CHANGE_KEYS, change_pairs
-from rollbook.operators.registry import filled, first_by, long_form, resolve
+from rollbook.operators.registry import filled, first_by, resolve
 from rollbook.sources.shared import written
 
 #: Columns that an identifier is looked up in.
@@ -25,6 +25,8 @@ PROFILE = ("merchant_name", "tid", "mxcode", "phone", "email", "contact_name", "
 STATIC_MARK = "static_account_terminal"
 RAW_FIELDS = {"settlement_account": "DEALER ACCOUNT NO", "settlement_bank": "DEALER BANK NAME", "merchant_id": "MERCHANTID", "dealer_name": "DEALER NAME"}
 SAME_NAME = 0.55
+#: Records that hold a value, beyond which they are counted without being listed.
+HEAVY = 1000
 
 
 def _have(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -211,10 +213,28 @@ def merge_steps(steps: Sequence[DataFrame], key: str = "identifier") -> DataFram
     return every.groupBy(key).agg(*[F.coalesce(F.min_by(c, F.when(filled(c), F.struct("_step", F.col(c)))), F.lit("")).alias(c) for c in columns])
 
 
-def linked_counts(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """How many records share any identifier with the record of each wanted one, itself included; 0 without one."""
+def linked_counts(df: DataFrame, wanted: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """How many records share any identifier with the record of each wanted one, itself included; 0 without one.
+
+    Records that hold a value of at most ``heavy`` records are listed. For values of more (a code of many
+    terminals) records are counted by the set of such values that they hold, and those that hold any of an
+    identifier's are found by inclusion and exclusion: no identifier is paired with a heavy value's records.
+    """
+    cells = lambda columns: F.array_distinct(F.filter(F.array(*[code(c) for c in columns]), lambda x: x != ""))
     columns = _have(df, RESOLVE)
-    found = _resolved(df, wanted, columns).where("id is not null")
-    handles = found.select("value", F.explode(F.array_distinct(F.array(*[code(c) for c in columns]))).alias("key")).where("key <> ''")
-    hits = handles.join(long_form(df, columns).select("id", F.col("value").alias("key")).distinct(), "key").select("value", "id").distinct()
-    return wanted.select("value").distinct().join(hits.groupBy("value").agg(F.count("*").alias("n")), "value", "left").select(F.col("value").alias("identifier"), F.coalesce("n", F.lit(0)).alias("n"))
+    handles = written(_resolved(df, wanted, columns).where("id is not null").select("value", F.explode(cells(columns)).alias("key")), "handles")
+    held = df.select("id", F.explode(cells(columns)).alias("key")).join(handles.select("key").distinct(), "key")
+    counts = held.groupBy("key").agg((F.count("*") > heavy).alias("heavy"))
+    held = held.join(counts, "key")
+    many, few = F.array_sort(F.collect_set(F.when(F.col("heavy"), F.col("key")))), F.collect_set(F.when(~F.col("heavy"), F.col("key")))
+    records = written(held.groupBy("id").agg(many.alias("many"), few.alias("few")), "held")
+    heavies = records.select(F.explode("many").alias("key")).distinct().withColumn("heavy", F.lit(True))
+    asked = written(handles.join(heavies, "key", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).groupBy("value").agg(many.alias("own"), few.alias("light")), "asked")
+    subsets = lambda t, c: t.withColumn("_m", F.explode(F.sequence(F.lit(1).cast("bigint"), (F.pow(F.lit(2), F.size(c)) - 1).cast("bigint")))).withColumn("_s", F.expr(f"filter({c}, (x, i) -> getbit(_m, i) = 1)"))
+    held_by = subsets(records.where("size(many) > 0").groupBy("many").agg(F.count("*").alias("n")), "many").groupBy("_s").agg(F.sum("n").alias("n"))
+    sign = F.when(F.size("_s") % 2 == 1, 1).otherwise(-1)
+    by_many = subsets(asked.where("size(own) > 0").select("own").distinct(), "own").join(held_by, "_s").groupBy("own").agg(F.sum(F.col("n") * sign).alias("n_many"))
+    listed = asked.select("value", "own", F.explode("light").alias("key")).join(records.select("id", "many", F.explode("few").alias("key")), "key")
+    by_few = listed.where(~F.arrays_overlap("own", "many")).select("value", "id").distinct().groupBy("value").agg(F.count("*").alias("n_few"))
+    out = wanted.select("value").distinct().join(asked.select("value", "own"), "value", "left").join(by_many, "own", "left").join(by_few, "value", "left")
+    return out.select(F.col("value").alias("identifier"), (F.coalesce("n_many", F.lit(0)) + F.coalesce("n_few", F.lit(0))).cast("bigint").alias("n"))

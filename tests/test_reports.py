@@ -62,3 +62,21 @@ def test_former_names_are_distinct(spark):
     found = [tuple(r) for r in reports.former_names(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("t1",), ("t8",), ("zz",)], "value string")).collect()]
     changed = {("t1", n, sheet) for n in ("One", "Two", "Fresh", "Older", "Eldest", "Other")}
     assert len(found) == len(set(found)) and set(found) == changed | {("t1", "One", "a"), ("t1", "Two", "b")}
+
+
+def test_linked_counts_with_heavy_values(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i if i else 1, "s", "M", f"t{rng.randrange(60)}", f"MX{rng.randrange(3)}", "", f"e{rng.randrange(20)}", rng.choice([None, "MX1", f"{rng.randrange(9)}"]), None) for i in range(150)]
+    asked = [f"t{i}" for i in range(0, 70, 5)] + ["MX1"]
+    cells = lambda r: {x.upper() for x in (r[3], r[4], r[6], r[7]) if x}
+    want = {}
+    for v in asked:
+        hits = sorted((r for r in rows if v.upper() in cells(r)), key=lambda r: r[0])
+        first = [r for r in hits if r[0] == hits[0][0]]
+        want[v] = len({r[0] for r in rows if cells(r) & cells(first[0])}) if hits else 0
+    for heavy in (1, 12, 1000):
+        seen = _written(monkeypatch)
+        got = {r["identifier"]: r["n"] for r in reports.linked_counts(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(x,) for x in asked], "value string"), heavy).collect()}
+        assert got == want
+        if heavy == 12:  # codes and mails of more records than that are counted, not listed
+            assert not any(k.startswith("MX") for r in seen["held"] for k in r["few"])
