@@ -9,13 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollbook.llm import fertility, neardup, packing, secrets, tiling
-from rollbook.sources.shared import written
+from rollbook.sources.shared import forget, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the fertility bands of their language, which good labelled ones set."""
+    """Documents that pass the base rule and the fertility bands of their language, which all good labelled ones set.
+
+    Texts are measured once: the result reads a table of them with their measures, which ``run`` deletes afterwards.
+    """
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return fertility.keep(docs, fertility.fit(docs, good))
+    measured = written(fertility.measure(docs), "measured")
+    kept = fertility.kept(measured, fertility.learn(measured, good))
+    kept.scratch = measured.scratch
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; each but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        out = stage(spark, docs, sf_dir)
+        docs = written(out, name)
+        if "scratch" in vars(out):
+            forget(out)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.llm import edits, fertility, licenses, lm, neardup, packing, secrets, substrings, tiling, warc
+from rollbook.sources.shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    bands = fertility.fit(docs, _table(spark, sf_dir, "labels").where("quality = 1"))
-    return fertility.rules(docs.select("doc_id", "text", "lang"), bands).drop("text", "lang")
+    measured = written(fertility.measure(docs.select("doc_id", "text", "lang")).drop("text", "lang"), "measured")
+    return fertility.judged(measured, fertility.learn(measured, _table(spark, sf_dir, "labels").where("quality = 1")))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
