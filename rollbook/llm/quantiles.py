@@ -1,9 +1,9 @@
 """Exact quantiles of many groups at once, found digit by digit.
 
 Numbers that are not negative have the order of their 64 bits. A round counts, for each rank that is sought, the
-values that share the bits found so far by their next sixteen; the fourth round ends at the value itself. Counts are
+values that share the bits found so far by their next eight; the eighth round ends at the value itself. Counts are
 added up before they move, so a group as large as the table is spread like any other: what meets of it in a task is
-at most 65,536 counts for each run of bits that a sought rank lies in. The table of values is read five times.
+at most 256 counts for each run of bits that a sought rank lies in. The table of values is read nine times.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-_DIGIT = 16
+_DIGIT = 8
 
 
 def bits(values: np.ndarray) -> np.ndarray:
