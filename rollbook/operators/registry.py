@@ -21,6 +21,9 @@ COLUMNS = (
 NO_VALUE = ("", "y", "n", "n/a", "na", "-", "nil", "none", "null")
 NOISE = ("", "y", "n", "n/a", "na", "-", "--", "nil", "null", "0", "1")
 
+#: Bits in which keys are marked before an exact join. Of n keys, a share of about n in BITS of all other rows passes too.
+BITS = 1 << 24
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -74,6 +77,16 @@ def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], c
     return df.groupBy(*key).agg(F.min_by(F.struct(*columns), rank).alias("_")).select(*key, "_.*")
 
 
+def perhaps_in(df: DataFrame, keys: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of df whose columns agree with a row of keys, and few others: a filter before an exact join, so that little is exchanged for it.
+
+    Keys are marked in BITS bits, of which words of 64 that hold a mark are broadcast: a quarter of a million at most.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(BITS))
+    marks = keys.select(place.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_bits"))
+    return df.withColumn("_at", place).join(F.broadcast(marks), F.expr("shiftright(_at, 6) = _word and shiftrightunsigned(_bits, cast(_at & 63 as int)) & 1L = 1L"), "left_semi").drop("_at")
+
+
 def resolve(df: DataFrame, wanted: DataFrame, columns: Sequence[str], spec: Spec = SPEC, keep: Sequence[str] = ("id",)) -> DataFrame:
     """Each wanted value (column ``value``) with the first record that holds it in any of the columns.
 
@@ -85,6 +98,7 @@ def resolve(df: DataFrame, wanted: DataFrame, columns: Sequence[str], spec: Spec
     held = F.filter(F.array(*[F.struct(F.lit(c).alias("matched_field"), code(c).alias("_cell")) for c in columns]), lambda x: x["_cell"] != "")
     # Only records that hold a wanted key are kept, and they carry what is shown of them: no second join for it.
     cells = df.select(F.col(spec.id).alias("id"), *[F.col(c).alias(f"_keep_{c}") for c in rest], F.inline(held)).withColumn("_key", lookalike_key("_cell"))
+    cells = perhaps_in(cells, wanted.where("_code <> ''"), ["_key"])
     hits = cells.join(wanted.where("_code <> ''"), "_key").withColumn("is_exact", F.col("_cell") == F.col("_code"))
     best = first_by(hits, ["value"], [~F.col("is_exact"), "id", "matched_field"], ["id", *[f"_keep_{c}" for c in rest], "matched_field", "is_exact"])
     shown = best.withColumnsRenamed({f"_keep_{c}": c for c in rest})

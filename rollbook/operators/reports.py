@@ -15,8 +15,8 @@ from rollbook.functions import similarity
 from rollbook.functions.identifiers import LOCALITIES
 from rollbook.functions.text import _text, code
 from rollbook.operators.enrichment import CHANGE_KEYS, change_pairs
-from rollbook.operators.registry import filled, first_by, resolve
-from rollbook.sources.shared import written
+from rollbook.operators.registry import filled, first_by, perhaps_in, resolve
+from rollbook.sources.shared import let_go, written
 
 #: Columns that an identifier is looked up in.
 RESOLVE = ("tid", "mxcode", "phone", "email", "account_number", "static_acc_no", "payable_code", "bvn", "merchant_id", "alias")
@@ -27,6 +27,10 @@ RAW_FIELDS = {"settlement_account": "DEALER ACCOUNT NO", "settlement_bank": "DEA
 SAME_NAME = 0.55
 #: Records that hold a value, beyond which they are counted without being listed.
 HEAVY = 1000
+#: Names, and identifiers, that meet as one list.
+PART = 500
+#: Names that a task deals out: their dictionary fits a page of Parquet (1 MB), without which each row holds its name.
+NAMES = 40_000
 
 
 def _have(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -165,24 +169,54 @@ def change_details(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return hits.join(rows.select("id", "merchant_name", "mxcode", "tid", *change_pairs("raw_data")), "id").withColumn("changed", changed).withColumnRenamed("value", "identifier")
 
 
-def former_names(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(identifier, variant, source): names on change sheets of the identifier's record, old and new account names there, and names under its code."""
+def former_names(df: DataFrame, wanted: DataFrame, heavy: int = HEAVY, part: int = PART) -> DataFrame:
+    """(identifier, variant, source): names on change sheets of the identifier's record, old and new account names there, and names under its code.
+
+    The result grows with identifiers times names, and nothing else does: names meet identifiers as lists of about
+    ``part``, and are told apart before that. A name counts by the first of code, terminal and name that has it;
+    what an earlier one has too is taken off the lists, and found by the names that keys share, or for names that
+    more than ``heavy`` keys have, by the keys.
+    """
     sheet = "Change-of-details sheet"
     kinds = ("mxcode", "tid", "merchant_name")
+    mx, tid, name = (code(c) for c in kinds)
     handle = F.array(*[F.struct(F.lit(c).alias("kind"), code(c).alias("key")) for c in kinds])
+    # _mx and _tid of a key: the earlier ones of its record.
+    earlier = lambda kind, key, m, t: F.struct(F.lit(kind).alias("kind"), key.alias("key"), m.alias("_mx"), t.alias("_tid"))
+    none = F.lit("")
+    long = F.array(earlier("mxcode", mx, none, none), earlier("tid", tid, mx, none), earlier("merchant_name", name, mx, tid))
+    found = written(_resolved(df, wanted, kinds).where("id is not null").select("value", F.inline(long)).where("key <> ''"), "found")
+    key, group = ["kind", "key"], ["kind", "key", "_mx", "_tid"]
+
     pairs = change_pairs("raw_data")
     old, new = (next(c for c, k in zip(pairs, CHANGE_KEYS, strict=True) if k == f"{x} MERCHANT ACCOUNT NAME") for x in ("OLD", "NEW"))
-    rows = df.where(F.col("sheet_name").contains("Change")).select(handle.alias("_h"), F.explode(F.array(F.col("merchant_name"), old, new)).alias("variant"))
-    named = lambda t: t.withColumn("variant", F.trim(_text("variant"))).where("key <> '' and variant <> ''")
-    changed = named(rows.select(F.inline("_h"), "variant")).select("kind", "key", "variant").distinct()
-    found = written(_resolved(df, wanted, kinds).where("id is not null").select("value", handle.alias("_h")).select("value", code(F.col("_h")[0]["key"]).alias("_mx"), F.inline("_h")).where("key <> ''"), "found")
-    siblings = named(df.select(code("mxcode").alias("key"), F.col("merchant_name").alias("variant"), F.col("sheet_name").alias("source")))
-    # An identifier has one code, and a code's names are distinct before they are dealt out: what is dealt out is so too.
-    by_code = siblings.union(changed.where("kind = 'mxcode'").select("key", "variant", F.lit(sheet).alias("source"))).distinct()
-    under = found.where("kind = 'mxcode'").join(by_code, "key").select(F.col("value").alias("identifier"), "variant", "source")
-    rest = found.where("kind <> 'mxcode'").join(changed, ["kind", "key"]).select("value", "_mx", "variant").distinct()
-    rest = rest.join(by_code.where(F.col("source") == sheet).select(F.col("key").alias("_mx"), "variant"), ["_mx", "variant"], "left_anti")
-    return under.union(rest.select(F.col("value").alias("identifier"), "variant", F.lit(sheet).alias("source")))
+    changed = df.where(F.col("sheet_name").contains("Change")).select(handle.alias("_h"), F.explode(F.array(F.col("merchant_name"), old, new)).alias("variant"))
+    changed = changed.select(F.inline("_h"), "variant", F.lit(sheet).alias("source"))
+    siblings = df.select(F.lit("mxcode").alias("kind"), mx.alias("key"), F.col("merchant_name").alias("variant"), F.col("sheet_name").alias("source"))
+    names = siblings.union(changed).withColumn("variant", F.trim(_text("variant"))).where("key <> '' and variant <> ''")
+    names = written(perhaps_in(names, found, key).distinct(), "names")
+    let_go(df.sparkSession)
+
+    parts = names.groupBy(*key).agg(F.ceil(F.count("*") / part).alias("_n"))
+    place = F.pmod(F.xxhash64("variant"), F.col("_n")).alias("_part")
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, -(-names.count() // NAMES))
+    lists = names.join(parts, key).select(*key, place, "variant", "source").repartition(spread, *key, "_part").groupBy(*key, "_part").agg(F.collect_list(F.struct("variant", "source")).alias("_names"))
+
+    on_sheet = names.where(F.col("source") == sheet).select(*key, "variant")
+    mine, theirs = on_sheet.where("kind <> 'mxcode'"), on_sheet.where("kind <> 'merchant_name'").withColumnsRenamed({"kind": "_kind", "key": "_key"})
+    before = F.array(*[F.struct(F.lit(k).alias("_kind"), F.col(c).alias("_key")) for k, c in (("mxcode", "_mx"), ("tid", "_tid"))])
+    links = found.select(*group).distinct().select(*group, F.inline(before)).where("_key <> ''")
+    common = theirs.groupBy("variant").count().where(F.col("count") > heavy).select("variant")
+    both = mine.join(theirs.join(common, "variant", "left_anti"), "variant").join(links, [*key, "_kind", "_key"]).select(*group, "variant")
+    rest = links.join(mine.join(common, "variant", "left_semi"), key).join(theirs.join(common, "variant", "left_semi"), ["_kind", "_key", "variant"], "left_semi").select(*group, "variant")
+    gone = both.union(rest).join(parts, key).groupBy(*group, place).agg(F.collect_set("variant").alias("_gone"))
+
+    many = found.groupBy(*group).agg(F.ceil(F.count("*") / part).alias("_m"))
+    people = found.join(many, group).groupBy(*group, F.pmod(F.xxhash64("value"), F.col("_m")).alias("_few")).agg(F.collect_list("value").alias("_values"))
+    people = people.join(parts, key).select(*group, "_values", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_part"))
+    left = F.when(F.col("_gone").isNull(), F.col("_names")).otherwise(F.filter("_names", lambda x: ~F.array_contains("_gone", x["variant"])))
+    out = people.join(gone, [*group, "_part"], "left").repartition(spread, *key, "_part").join(lists, [*key, "_part"]).select("_values", F.inline(left))
+    return out.select(F.explode("_values").alias("identifier"), "variant", "source")
 
 
 COMPARED = ("merchant_name", "tid", "mxcode", "phone", "email", "address", "account_name", "account_number", "bank", "state", "sheet_name")

@@ -64,6 +64,64 @@ def test_former_names_are_distinct(spark):
     assert len(found) == len(set(found)) and set(found) == changed | {("t1", "One", "a"), ("t1", "Two", "b")}
 
 
+def test_former_names_against_a_plain_version(spark):
+    """Names that keys of one record share, on both sides of ``heavy``, in lists of two and in one."""
+    sheet, rng = "Change-of-details sheet", random.Random(3)
+    some = lambda xs: rng.choice(xs)
+    new = '{"NEW MERCHANT ACCOUNT NAME": "%s", "OLD MERCHANT ACCOUNT NAME": "%s"}'
+    rows = []
+    for i in range(160):
+        where, words = some([sheet, "Change b", "a", "b"]), ["One", "two ", "Three", "", "Four"]
+        cells = (some(words), some(words + [f"N{i}"])) if "Change" in where else None
+        rows.append((i, where, some(["One", " one", "Two", "", "Three"]), f"t{some('acdefghjkm')}" if i % 9 else "", f"mx{some('acde')}" if i % 7 else "", "", "", "", new % cells if cells else None, cells or ()))
+    asked = [f"T{x}" for x in "acdefghjkmq"] + ["MXC"]
+    key = lambda x: x.strip().upper()
+    want = set()
+    for v in asked:
+        own = min((r for r in rows if v.upper() in (key(r[3]), key(r[4]))), default=None, key=lambda r: r[0])
+        for r in rows if own else ():
+            if "Change" in r[1] and any(key(own[c]) and key(own[c]) == key(r[c]) for c in (2, 3, 4)):
+                want |= {(v, n.strip(), sheet) for n in (r[2], *r[9])}
+            if key(own[4]) and key(own[4]) == key(r[4]):
+                want.add((v, r[2].strip(), r[1]))
+    df, w = spark.createDataFrame([r[:9] for r in rows], SCHEMA), spark.createDataFrame([(x,) for x in asked], "value string")
+    for heavy, part in ((1, 2), (3, 500), (1000, 2)):
+        found = [tuple(r) for r in reports.former_names(df, w, heavy, part).collect()]
+        assert len(found) == len(set(found)) and set(found) == {x for x in want if x[1]}
+
+
+def _exchanged(spark, run):
+    """Rows that run writes for exchanges."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (lambda all: [all.apply(i) for i in range(all.size())])(store.stageList(None, False, False, gateway.new_array(spark._jvm.double, 0), None))}
+    before = stages()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_former_names_exchange_no_pairs(spark):
+    """Identifiers and names of one common name: the result has 300 times 301 rows, of which none is exchanged."""
+    rows = [(i, "Change b", "Branch", f"t{i:04d}", f"MX{i:04d}", "", "", "", '{"NEW MERCHANT ACCOUNT NAME": "New %d"}' % i) for i in range(300)]
+    df, w = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(r[3],) for r in rows], "value string")
+    n = _exchanged(spark, lambda: [tuple(r) for r in reports.former_names(df, w).toLocalIterator()])
+    assert n < 20_000
+    assert reports.former_names(df, w).distinct().count() == 300 * 301 + 300
+
+
+def test_only_wanted_cells_are_exchanged(spark):
+    """Cells of records that hold no wanted value are left where they are, where wanted values are too many to be broadcast."""
+    rows = [(i, "s", "M", f"t{i:05d}", f"MX{i:05d}", "", f"e{i}@x.org", "", None) for i in range(5000)]
+    df, w = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(f"T{i:05d}",) for i in range(0, 5000, 10)], "value string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = _exchanged(spark, lambda: reports.profiles(df, w).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert n < 6000
+
+
 def test_linked_counts_with_heavy_values(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i if i else 1, "s", "M", f"t{rng.randrange(60)}", f"MX{rng.randrange(3)}", "", f"e{rng.randrange(20)}", rng.choice([None, "MX1", f"{rng.randrange(9)}"]), None) for i in range(150)]
