@@ -172,8 +172,8 @@ def change_details(df: DataFrame, wanted: DataFrame) -> DataFrame:
 def former_names(df: DataFrame, wanted: DataFrame, heavy: int = HEAVY, part: int = PART) -> DataFrame:
     """(identifier, variant, source): names on change sheets of the identifier's record, old and new account names there, and names under its code.
 
-    The result grows with identifiers times names, and nothing else does: names meet identifiers as lists of about
-    ``part``, and are told apart before that. A name counts by the first of code, terminal and name that has it;
+    The result grows with identifiers times names, of which nothing is exchanged: names meet identifiers as lists of
+    about ``part``, and are told apart before that. A name counts by the first of code, terminal and name that has it;
     what an earlier one has too is taken off the lists, and found by the names that keys share, or for names that
     more than ``heavy`` keys have, by the keys.
     """
